@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, topk
-from .common import table
+from . import bpe, chat, langid, lmscore, neardup, packing, quality, repeats, rules, topk
+from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return lmscore.score(documents, lmscore.train(table(spark, sf_dir, "benchmark"), documents))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -22,6 +27,12 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(documents, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    return quality.classify(documents, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -29,11 +40,30 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.expand(rows.unionByName(probe))))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return rules.judge(documents, rules.train(documents, table(spark, sf_dir, "labels")))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.train(documents, crc_mod("doc_id", 4) != 2)
+    return langid.identify(documents, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "loss", "rejected")
+
+
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), emit=("n_tokens", "ids_sha256", "decoded_sha256"), keep=("doc_id",))
 
 
-QUERIES: dict[str, Query] = {"op2_packing": op2_packing, "op3_topk": op3_topk, "op5_chat": op5_chat, "op9_bpe": op9_bpe}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_lmscore, op2_packing, op3_topk, op4_quality, op5_chat, op6_repeats, op7_rules, op8_langid, op9_bpe, op10_neardup)}
 
 SQL: dict[str, str] = {
     "op3_topk": """
