@@ -190,12 +190,14 @@ def split(contexts: DataFrame, block: int) -> DataFrame:
 
 def _level(rows: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
     """Of units (bucket, whole, weight, ...): (those equal to another as a whole, one of each different unit with the summed weight and `units`, the number of different units in its bucket, where that is above 1)."""
-    busy = rows.groupBy("bucket").agg(F.sum("weight").alias("occurrences")).where("occurrences > 1").select("bucket")
+    # written, as a join splits a hot bucket only where both of its sides come straight from an exchange
+    busy = written(rows.groupBy("bucket").agg(F.sum("weight").alias("occurrences")).where("occurrences > 1").select("bucket"), "busy")
     rows = written(rows.join(busy, "bucket"), "units")
     firsts = [F.first(c).alias(c) for c in ["did", "th", "lo", "hi", "p", *extra]]
     each = rows.groupBy("bucket", "whole").agg(F.sum("weight").alias("total"), *firsts)
     whole = rows.where("weight = 1").join(each.where("total > 1").select("bucket", "whole"), ["bucket", "whole"]).select("did", "th", "lo", "hi")
-    mixed = each.groupBy("bucket").agg(F.count("*").alias("units")).where("units > 1")
+    each = written(each, "each")
+    mixed = written(each.groupBy("bucket").agg(F.count("*").alias("units")).where("units > 1"), "mixed")
     one = each.withColumnRenamed("total", "weight").join(mixed, "bucket")
     return whole, one
 
