@@ -49,10 +49,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and read again from a Parquet table in the shared scratch folder, so that its lineage ends there."""
+    """df, computed once and read again from a Parquet table in the shared scratch folder, so that its lineage ends there.
+
+    Shuffle files of what was computed stay until the driver's JVM finds that nothing refers to them; asking it to look
+    now keeps a query of several such steps from holding the shuffles of all of them on disk.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
