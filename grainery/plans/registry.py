@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import search_queries
+
+QUERIES = {**search_queries.QUERIES}
+SQL: dict[str, str] = {**search_queries.SQL}
