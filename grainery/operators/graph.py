@@ -53,23 +53,25 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = Fal
     return seen.where("depth > 0")
 
 
-def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, every: int = 10) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85) -> DataFrame:
     """(node, score), summing to 1. A node gets d * r / out from every node that links to it, an equal share of d * r from nodes without
-    links, and an equal share of (1 - d) * r from nodes that do not link to it; parallel labels count in `out` alone."""
+    links, and an equal share of (1 - d) * r from nodes that do not link to it; parallel labels count in `out` alone.
+
+    Each round reads the ranks several times, so every round ends in a checkpoint; the links are one too.
+    """
     ensure_checkpoint_dir(edges.sparkSession)
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    links = edges.select("src", "dst").distinct().join(out, "src")
+    links = edges.select("src", "dst").distinct().join(out, "src").checkpoint()
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().join(out.withColumnRenamed("src", "node"), "node", "left")
     n = nodes.count()
-    r = nodes.select("node", "out", F.lit(1.0 / max(1, n)).alias("r"))
-    for k in range(rounds):
+    r = nodes.select("node", "out", F.lit(1.0 / max(1, n)).alias("r")).checkpoint()
+    for _ in range(rounds):
         given = links.join(r.select(F.col("node").alias("src"), "r"), "src").groupBy("dst").agg(F.sum(damping * F.col("r") / F.col("out") - (1 - damping) * F.col("r") / n).alias("got"))
         base = r.agg(F.sum(F.when(F.col("out").isNull(), damping * F.col("r")).otherwise((1 - damping) * F.col("r"))).alias("base"))
         new = r.join(given, r["node"] == given["dst"], "left").join(F.broadcast(base)).select("node", "out", (F.coalesce("got", F.lit(0.0)) + F.col("base") / n).alias("r"))
-        total = new.agg(F.sum("r").alias("total"))
-        r = new.join(F.broadcast(total)).select("node", "out", (F.col("r") / F.col("total")).alias("r"))
-        if (k + 1) % every == 0:
-            r = r.checkpoint()
+        new = new.checkpoint()
+        total = new.agg(F.sum("r")).first()[0] or 1.0
+        r = new.select("node", "out", (F.col("r") / F.lit(total)).alias("r"))
     return r.select("node", F.col("r").alias("score"))
 
 

@@ -182,17 +182,18 @@ def mmr(hits: DataFrame, query_vectors: DataFrame, diversity: float = 0.3) -> Da
 
 
 def tier_dedup(hits: DataFrame) -> DataFrame:
-    """Per query and file, highest tier and score first, drops hits whose lines overlap one already kept; without a second tier all stay."""
+    """Per query (whose hits are a bounded list) and file, highest tier and score first, drops hits whose lines overlap one already kept; without a second tier all stay."""
 
     def keep(rows):
-        if rows["tier"].nunique() < 2:
-            return rows
-        rows = rows.sort_values(["tier", "score", "key"], ascending=[False, False, True])
-        spans, chosen = [], []
-        for i, (a, b) in enumerate(zip(rows["start_line"], rows["end_line"], strict=True)):
-            if all(b < c or a > d for c, d in spans):
+        tiers = rows.groupby("file")["tier"].transform("nunique")
+        rows = rows.sort_values(["file", "tier", "score", "key"], ascending=[True, False, False, True])
+        file, spans, chosen = None, [], []
+        for i, (f, n, a, b) in enumerate(zip(rows["file"], tiers[rows.index], rows["start_line"], rows["end_line"], strict=True)):
+            if f != file:
+                file, spans = f, []
+            if n < 2 or all(b < c or a > d for c, d in spans):
                 spans.append((a, b))
                 chosen.append(i)
         return rows.iloc[chosen]
 
-    return hits.groupBy("qid", "file").applyInPandas(keep, hits.schema)
+    return hits.groupBy("qid").applyInPandas(keep, hits.schema)

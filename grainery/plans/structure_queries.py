@@ -63,10 +63,10 @@ def _pagerank_sql(rounds: int) -> str:
     out = [EDGES, "outs AS (SELECT src AS node, count(*) AS o FROM edges GROUP BY 1)", "nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)", "sz AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes)", "r0 AS (SELECT node, o, 1 / n AS r FROM nodes LEFT JOIN outs USING (node), sz)"]
     for k in range(rounds):
         out += [
-            f"g{k} AS (SELECT dst AS node, sum(0.85::DOUBLE * r / o - 0.15::DOUBLE * r / n) AS got FROM edges JOIN r{k} ON src = node, sz GROUP BY 1)",
-            f"b{k} AS (SELECT sum(CASE WHEN o IS NULL THEN 0.85::DOUBLE * r ELSE 0.15::DOUBLE * r END) AS base FROM r{k})",
-            f"u{k} AS (SELECT node, o, coalesce(got, 0) + base / n AS r FROM r{k} LEFT JOIN g{k} USING (node), b{k}, sz)",
-            f"r{k + 1} AS (SELECT node, o, r / sum(r) OVER () AS r FROM u{k})",
+            f"g{k} AS MATERIALIZED (SELECT dst AS node, sum(0.85::DOUBLE * r / o - 0.15::DOUBLE * r / n) AS got FROM edges JOIN r{k} ON src = node, sz GROUP BY 1)",
+            f"b{k} AS MATERIALIZED (SELECT sum(CASE WHEN o IS NULL THEN 0.85::DOUBLE * r ELSE 0.15::DOUBLE * r END) AS base FROM r{k})",
+            f"u{k} AS MATERIALIZED (SELECT node, o, coalesce(got, 0) + base / n AS r FROM r{k} LEFT JOIN g{k} USING (node), b{k}, sz)",
+            f"r{k + 1} AS MATERIALIZED (SELECT node, o, r / sum(r) OVER () AS r FROM u{k})",
         ]
     return ", ".join(out)
 
