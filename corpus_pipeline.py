@@ -37,7 +37,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of every group of near duplicates, and one row of every id kept."""
     kept = written(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")), "kept")
-    ids = kept.distinct()
+    ids = kept.distinct().hint("shuffle_hash")  # they grow with the input, so they are never broadcast
     some = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["kept_id"]), "left_semi")
     if kept.count() > ids.count():
         some = some.withColumn("same", F.struct("*")).groupBy("doc_id").agg(F.first("same").alias("row")).select("row.*")
