@@ -1,10 +1,13 @@
-"""Cross-entropy difference: matched target and background bigram models over one shared vocabulary score each document
-by the mean, over its words, of the difference of the two losses.
+"""Cross-entropy difference: matched target and background models over one shared vocabulary score each document by the
+mean, over its words, of the difference of the two losses.
 
-The vocabulary is the VOCABULARY most frequent words of target and background together; other words are one class.
-Both models are interpolated Witten-Bell bigrams over it with the same start symbol. All counts cover every text: each task
-sums what it has read, the sums are added up by key, and the table of loss differences, whose size VOCABULARY fixes
-(its square), is what every task gets. Words are compared by 64-bit hashes.
+The vocabulary is every word of target and background together. The CLASSES most frequent words are a class each and all
+other words are one more; P(word | word before) = P(class | class before) * P(word | class). Both models are interpolated
+Witten-Bell bigrams of classes with the same start symbol, and within the class of other words interpolated Witten-Bell
+unigrams of the words themselves. All counts cover every text and are added up by key. The table of class losses, whose
+size CLASSES fixes (its square), is what every task gets; the losses of other words grow with the input, so they are
+never gathered but joined by word with the distinct words of groups of GROUP_BYTES of text. Words are compared by 64-bit
+hashes.
 
 Null and empty texts have no words and get null losses. Repeated rows count as often as they occur.
 """
@@ -12,15 +15,30 @@ Null and empty texts have no words and get null losses. Repeated rows count as o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import passes, text_bytes, word_hashes
+from .common import passes, text_bytes, word_hashes, written
 
-VOCABULARY = 1024
+CLASSES = 1024
+GROUP_BYTES = 16 << 20
+#: Distinct words that a task holds before it passes them on.
+HELD = 1 << 20
+
+
+class Model(NamedTuple):
+    """Sorted hashes of the frequent words; the class losses of target and background; (word, target_loss, background_loss)
+    of the other words; and the two losses of a word that neither has."""
+
+    known: np.ndarray
+    target: np.ndarray
+    background: np.ndarray
+    others: DataFrame
+    unseen: tuple[float, float]
 
 
 def _words(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
@@ -32,21 +50,21 @@ def _words(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """(word, n): how often each hashed word occurs, added up within each task already."""
+    """(word, n): how often each hashed word occurs, added up within each task only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held = []
         for *_, words, _ in _words(batches, "text"):
             held.append(np.unique(words, return_counts=True))
-            if sum(len(k) for k, _ in held) > 1 << 20:
+            if sum(len(k) for k, _ in held) > HELD:
                 held = [_added([(keys, counts), *held])]
                 keys, counts = held.pop()
         keys, counts = _added([(keys, counts), *held])
         for low in range(0, len(keys), 1 << 17):
             yield pa.RecordBatch.from_arrays([pa.array(keys[low : low + (1 << 17)]), pa.array(counts[low : low + (1 << 17)])], ["word", "n"])
 
-    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "word bigint, n bigint")
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,30 +110,95 @@ def losses(table: np.ndarray) -> np.ndarray:
     return -np.log((1 - weight) * table / np.maximum(1, total) + weight * one)
 
 
-def train(target: DataFrame, background: DataFrame, text: str = "text", size: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted vocabulary hashes, target losses, background losses)."""
-    both = target.select(F.col(f"`{text}`").alias("text")).unionByName(background.select(F.col(f"`{text}`").alias("text")))
-    known = np.sort(np.array([r[0] for r in word_counts(both, "text").orderBy(F.desc("n"), "word").limit(size).collect()], np.int64))
-    return known, losses(pair_counts(target, text, known)), losses(pair_counts(background, text, known))
+def train(target: DataFrame, background: DataFrame, text: str = "text", size: int = CLASSES) -> Model:
+    zero = F.lit(0).cast("long")
+    both = word_counts(target, text).select("word", F.col("n").alias("t"), zero.alias("b")).unionByName(word_counts(background, text).select("word", zero.alias("t"), F.col("n").alias("b")))
+    counts = written(both.groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "lmscore-words")
+    n = F.col("t") + F.col("b")
+    first = counts.select("word", n.alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
+    known = np.sort(np.array([r["word"] for r in first], np.int64))
+    others = counts
+    if first:
+        last = first[-1]
+        others = counts.where((n < last["n"]) | ((n == last["n"]) & (F.col("word") > last["word"])))
+    sums = others.agg(F.count("*").alias("words"), *[e for c in "tb" for e in (F.sum(c).alias(c), F.count_if(F.col(c) > 0).alias(f"kinds_{c}"))]).first()
+
+    def loss(c: str):
+        """-log P(word | other): the mass of new words is shared by all other words of both sides and one unseen word."""
+        total, kinds = sums[c] or 0, sums[f"kinds_{c}"]
+        even = 1 / (sums["words"] + 1)
+        return (lambda k: (k + kinds * even) / (total + kinds)) if total else (lambda k: k * 0 + even)
+
+    of = {c: loss(c) for c in "tb"}
+    others = others.select("word", *[(-F.log(of[c](F.col(c).cast("double")))).alias(name) for c, name in (("t", "target_loss"), ("b", "background_loss"))])
+    return Model(known, losses(pair_counts(target, text, known)), losses(pair_counts(background, text, known)), others, tuple(-float(np.log(of[c](0.0))) for c in "tb"))
+
+
+def _rare(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.ones(len(words), bool)
+    return known[np.minimum(np.searchsorted(known, words), len(known) - 1)] != words
 
 
-def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, target_loss, background_loss, difference) per row; a lower difference is more like the target."""
+def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(doc_id, n_words, target_loss, background_loss, difference) per row; a lower difference is more like the target.
+
+    Rows are dealt to groups by their hash and the task they come from, so that equal rows do not all meet in one group.
+    """
     source = df.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    shared = df.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32).ravel(), model[2].astype(np.float32).ravel()))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    group = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(1 + size // group_bytes)).alias("g")
+    grouped = source.select("doc_id", "text", group).repartition("g")
+    shared = df.sparkSession.sparkContext.broadcast((model.known, model.target.astype(np.float32).ravel(), model.background.astype(np.float32).ravel()))
+    unseen = model.unseen
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[0]
+        held: list[np.ndarray] = []
+
+        def distinct() -> pa.RecordBatch:
+            rows = np.unique(np.concatenate(held)) if held else np.zeros(0, _ASKED)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["g"])), pa.array(np.ascontiguousarray(rows["word"]))], ["g", "word"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, target, background = shared.value
         for batch, i, j, words, at in _words(batches, "text"):
+            g = np.repeat(batch.column("g").to_numpy()[i:j], np.diff(at))
+            rare = _rare(words, known)
+            rows = np.empty(int(rare.sum()), _ASKED)
+            rows["g"], rows["word"] = g[rare], words[rare]
+            held.append(np.unique(rows))
+            if sum(map(len, held)) > HELD:
+                held[:] = [np.unique(np.concatenate(held))]
+                if len(held[0]) > HELD // 2:
+                    yield distinct()
+        yield distinct()
+
+    def scored(docs: pa.Table, lexicon: pa.Table) -> pa.Table:
+        known, *tables = shared.value
+        other = lexicon.column("word").to_numpy()
+        other, first = np.unique(other, return_index=True)
+        own = [np.append(lexicon.column(c).to_numpy()[first], u) for c, u in zip(("target_loss", "background_loss"), unseen, strict=True)]
+        parts = []
+        for batch, i, j, words, at in _words(iter(docs.to_batches()), "text"):
             n = np.diff(at)
             cells = _pairs(words, at, known) if len(words) else np.zeros(0, np.int64)
+            rare = np.flatnonzero(_rare(words, known))
+            place = np.searchsorted(other, words[rare])
+            place[np.append(other, 0)[place] != words[rare]] = len(other)
             means = []
-            for table in (target, background):
+            for table, extra in zip(tables, own, strict=True):
+                loss = table[cells].astype(float)
+                loss[rare] += extra[place]
                 sums = np.zeros(len(cells) + 1)
-                np.cumsum(table[cells], out=sums[1:])
+                np.cumsum(loss, out=sums[1:])
                 means.append((sums[at[1:]] - sums[at[:-1]]) / np.maximum(1, n))
-            none = n == 0
-            out = [pa.array(m, mask=none) for m in (*means, means[0] - means[1])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), *out], ["doc_id", "n_words", "target_loss", "background_loss", "difference"])
+            out = [pa.array(m, mask=n == 0) for m in (*means, means[0] - means[1])]
+            parts.append(pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), *out], ["doc_id", "n_words", "target_loss", "background_loss", "difference"]))
+        return pa.Table.from_batches(parts)
+
+    lexicon = grouped.mapInArrow(asked, "g bigint, word bigint").join(model.others, "word").select("g", "word", "target_loss", "background_loss")
+    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words bigint, target_loss double, background_loss double, difference double"
+    return grouped.groupBy("g").cogroup(lexicon.groupBy("g")).applyInArrow(scored, schema)
+
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words bigint, target_loss double, background_loss double, difference double")
+_ASKED = np.dtype([("g", np.int64), ("word", np.int64)])

@@ -294,39 +294,49 @@ def test_language_models(spark):
 def test_cross_entropy_difference(docs, texts, spark, empty):
     target = [prose(30) for _ in range(5)] + [None]
     tdf = spark.createDataFrame([(t,) for t in target], "text string")
-    got = {r.doc_id: r for r in lmscore.score(docs, lmscore.train(tdf, docs, size=20)).collect()}
     counts = Counter(w for t in [*target, *texts] for w in words(t))
-    cut = counts.most_common(20)[-1][1]
-    if sum(c >= cut for c in counts.values()) == 20:  # no tie at the border of the vocabulary
-        known = {w for w, c in counts.items() if c >= cut}
-
-        def model(some):
-            pairs = Counter()
-            for t in some:
-                ids = [w if w in known else b"?" for w in words(t)]
-                pairs.update(zip([b"^", *ids], ids, strict=False))
-            one, total, kinds = Counter(), Counter(), Counter()
-            for (a, b), c in pairs.items():
-                one[b] += c
-                total[a] += c
-                kinds[a] += 1
-            every = sum(one.values()) + 21
-
-            def loss(a, b):
-                weight = kinds[a] / (total[a] + kinds[a]) if total[a] else 1.0
-                return -math.log((1 - weight) * pairs[a, b] / max(1, total[a]) + weight * (one[b] + 1) / every)
-
-            return loss
-
-        t_loss, b_loss = model(target), model(texts)
-        for i, t in enumerate(texts):
+    by_count = sorted(counts.values(), reverse=True)
+    size = next(k for k in range(20, len(by_count)) if by_count[k - 1] > by_count[k])  # no tie at the border of the classes
+    known = {w for w, c in counts.items() if c >= by_count[size - 1]}
+    fitted = lmscore.train(tdf, docs, size=size)
+    got = {r.doc_id: r for r in lmscore.score(docs, fitted, group_bytes=4096).collect()}
+    prose_new = "zq never " + prose(20) + " seen zq"  # words that no model has seen
+    new = {r.doc_id: r for r in lmscore.score(spark.createDataFrame([(0, prose_new)], "doc_id long, text string"), fitted).collect()}
+    assert len(got) == len(texts)
+    rare = {w for w in counts if w not in known}
+
+    def model(some):
+        pairs, own = Counter(), Counter()
+        for t in some:
+            own.update(w for w in words(t) if w in rare)
             ids = [w if w in known else b"?" for w in words(t)]
-            steps = list(zip([b"^", *ids], ids, strict=False))
-            assert got[i].n_words == len(ids)
+            pairs.update(zip([b"^", *ids], ids, strict=False))
+        one, total, kinds = Counter(), Counter(), Counter()
+        for (a, b), c in pairs.items():
+            one[b] += c
+            total[a] += c
+            kinds[a] += 1
+        every = sum(one.values()) + size + 1
+
+        def loss(a, b, word):
+            weight = kinds[a] / (total[a] + kinds[a]) if total[a] else 1.0
+            out = -math.log((1 - weight) * pairs[a, b] / max(1, total[a]) + weight * (one[b] + 1) / every)
+            if word not in known:
+                out -= math.log((own[word] + len(own) / (len(rare) + 1)) / (sum(own.values()) + len(own)))
+            return out
+
+        return loss
+
+    t_loss, b_loss = model(target), model(texts)
+    for rows, of in ((got, texts), (new, [prose_new])):
+        for i, t in enumerate(of):
+            ids = [w if w in known else b"?" for w in words(t)]
+            steps = list(zip([b"^", *ids], ids, words(t), strict=False))
+            assert rows[i].n_words == len(ids)
             if ids:
-                assert abs(got[i].difference - sum(t_loss(*s) - b_loss(*s) for s in steps) / len(ids)) < 1e-4
+                assert abs(rows[i].difference - sum(t_loss(*s) - b_loss(*s) for s in steps) / len(ids)) < 1e-4
             else:
-                assert got[i].difference is None
+                assert rows[i].difference is None
     assert lmscore.score(empty, lmscore.train(tdf.where("false"), empty)).count() == 0
 
 
