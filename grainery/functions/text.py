@@ -19,6 +19,8 @@ STOP_WORDS = (
 OPERATORS = ["and", "or", "not", "near"]
 TEST_DIRS = ["tests/", "test/", "__tests__/", "spec/", "specs/", "testing/", "testutil/", "test_utils/", "testdata/"]
 TEST_NAMES = ["test.rs", "test.py", "test.go", "test.ts", "test.js"]
+TEST_FOLDERS = ["test", "tests", "__tests__", "spec", "specs"]
+TEST_ENDINGS = ["_test.go", "_test.rs", ".test.ts", ".test.js", ".test.tsx", ".test.jsx", ".spec.ts", ".spec.js", ".spec.tsx", ".spec.jsx", "_spec.rb"]
 META_NAMES = ["readme.md", "readme.rst", "readme.txt", "readme", "changelog.md", "changelog.rst", "changes.md", "changes.rst", "contributing.md", "contributing.rst", "license", "license.md", "license.txt", "code_of_conduct.md", "security.md"]
 DOC_EXTENSIONS = ["md", "mdx", "rst", "adoc", "txt", "org"]
 DOC_NAMES = ["readme", "changelog", "changes", "history", "news", "authors", "contributors", "license", "licence"]
@@ -119,6 +121,13 @@ def is_test_path(path: Column) -> Column:
     return inside | name.isin(TEST_NAMES) | stem.rlike(r"(\.test|\.spec|_test|_spec)$")
 
 
+def is_test_file(path: Column) -> Column:
+    """Tests as graph questions know them: folders below the root, and names by language. Differs from is_test_path, which ranks."""
+    p = F.lower(path)
+    inside = any_of(p.contains(f"/{d}/") for d in TEST_FOLDERS)
+    return inside | any_of(p.endswith(e) for e in TEST_ENDINGS) | file_name(p).rlike(r"^test_.*\.py$")
+
+
 def is_meta_path(path: Column) -> Column:
     return file_name(F.lower(path)).isin(META_NAMES)
 

@@ -34,14 +34,22 @@ def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     return tokens.select("key", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "key").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def text_stats(corpus: DataFrame, text: str) -> DataFrame:
+    """(n, avgdl): the number of texts and their mean length in terms."""
+    return corpus.select(F.count("*").alias("n"), F.avg(F.size(code_tokens(F.col(text)))).alias("avgdl"))
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, key: str, text: str) -> DataFrame:
     """(qid, key, score, rank) of the k best texts of each query (qid, query) by the sum over its distinct terms."""
-    posted = postings(corpus, key, text)
+    return bm25_stored(postings(corpus, key, text), text_stats(corpus, text), queries, k)
+
+
+def bm25_stored(posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The same over stored postings: only those of the asked terms are counted and weighed."""
     asked = queries.select("qid", F.explode(F.array_distinct(code_tokens(F.col("query")))).alias("term"))
-    size = corpus.select(F.count("*").alias("n"), F.avg(F.size(code_tokens(F.col(text)))).alias("avgdl"))
-    n, avgdl = size.first()
+    n, avgdl = stats.select("n", "avgdl").first()
     avgdl = avgdl or 1.0
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    df = posted.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
     weighted = asked.join(df, "term").select("qid", "term", "df").join(posted, "term")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +50,18 @@ def ordered_fetch(keys: DataFrame, table: DataFrame, key: str, vector: str, dim:
 
 def publish(df: DataFrame, root: str) -> str:
     """Writes a generation beside the others and then points to it; a reader sees the old or the new one whole. root: a folder of this machine."""
+    return publish_all({"": df}, root)
+
+
+def publish_all(tables: dict[str, DataFrame], root: str) -> str:
+    """The same for several tables at once; a generation that fails is taken away and the one before stays."""
     name = f"gen-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{name}")
+    try:
+        for table, df in tables.items():
+            df.write.parquet(os.path.join(root, name, table).rstrip("/"))
+    except BaseException:
+        shutil.rmtree(os.path.join(root, name), ignore_errors=True)
+        raise
     staged = f"{root}/.current-{name}"
     with open(staged, "w") as f:
         json.dump({"generation": name}, f)
@@ -58,6 +69,6 @@ def publish(df: DataFrame, root: str) -> str:
     return name
 
 
-def current(spark: SparkSession, root: str) -> DataFrame:
+def current(spark: SparkSession, root: str, table: str = "") -> DataFrame:
     with open(f"{root}/CURRENT") as f:
-        return spark.read.parquet(f"{root}/{json.load(f)['generation']}")
+        return spark.read.parquet(os.path.join(root, json.load(f)["generation"], table).rstrip("/"))

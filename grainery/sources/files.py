@@ -2,19 +2,72 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainery.functions.text import is_indexed_path, language
 
 
+LISTED = "path string, mtime timestamp, size bigint"
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime, size) of all files below a folder that every executor sees, apart from names that begin with a point.
+
+    The driver lists the first level only; each folder of it is walked by a task.
+    """
+    tops = sorted(e.name for e in os.scandir(root) if e.is_dir(follow_symlinks=False) and not e.name.startswith("."))
+    seeds = spark.createDataFrame([("",), *[(t,) for t in tops]], "top string").repartition(max(1, min(len(tops) + 1, 4 * spark.sparkContext.defaultParallelism)))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for top in batch.column("top").to_pylist():
+                for folder, folders, names in os.walk(os.path.join(root, top)):
+                    folders[:] = sorted(f for f in folders if not f.startswith(".")) if top else []
+                    paths = [os.path.join(folder, n) for n in sorted(names) if not n.startswith(".")]
+                    rows = [(os.path.relpath(p, root), os.stat(p)) for p in paths if os.path.isfile(p)]
+                    columns = [[r for r, _ in rows], [s.st_mtime_ns // 1000 for _, s in rows], [s.st_size for _, s in rows]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.timestamp("us", "UTC"), pa.int64()), strict=True)], ["path", "mtime", "size"])
+
+    return seeds.mapInArrow(walk, LISTED)
+
+
+def read_texts(rows: DataFrame, root: str) -> DataFrame:
+    """rows (path, mtime, size) with their texts, lossily decoded; files with a zero byte among their first 8192 are left out, as are those that have gone."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                try:
+                    with open(os.path.join(root, row["path"]), "rb") as f:
+                        data = f.read()
+                except FileNotFoundError:
+                    continue
+                if b"\0" not in data[:8192]:
+                    yield pa.RecordBatch.from_pylist([{**row, "text": data.decode("utf-8", "replace")}], pa.schema([*batch.schema, pa.field("text", pa.string())]))
+
+    return rows.select("path", "mtime", "size").mapInArrow(read, LISTED + ", text string")
+
+
 def tree(spark: SparkSession, root: str, all_files: bool = False) -> DataFrame:
-    """(path, mtime, size, language, text) of the text files below a folder that are indexed; files with a zero byte among their first 8192 are skipped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + root.rstrip("/") + "/", "")
-    rows = files.select(path.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
-    kept = rows if all_files else rows.where(is_indexed_path(F.col("path")))
-    return kept.where(~F.hex(F.substring("content", 1, 8192)).rlike("^(..)*?00")).select("path", "mtime", "size", language(F.col("path")).alias("language"), F.decode("content", "UTF-8").alias("text"))
+    """(path, mtime, size, language, text) of the text files below a folder that are indexed.
+
+    Folders behind a URI scheme are read by the engine's own file source, which leaves out names that begin with `_`.
+    """
+    if "://" in root:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        path = F.substring_index("path", root.rstrip("/") + "/", -1)
+        rows = files.select(path.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+        rows = rows.where(~F.hex(F.substring("content", 1, 8192)).rlike("^(..)*?00")).select("path", "mtime", "size", F.make_valid_utf8("content").alias("text"))
+        kept = rows if all_files else rows.where(is_indexed_path(F.col("path")))
+    else:
+        rows = listing(spark, root)
+        kept = read_texts(rows if all_files else rows.where(is_indexed_path(F.col("path"))), root)
+    return kept.select("path", "mtime", "size", language(F.col("path")).alias("language"), "text")
 
 
 def commit_log(lines: DataFrame) -> DataFrame:
