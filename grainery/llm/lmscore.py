@@ -153,24 +153,25 @@ def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", g
     unseen = model.unseen
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct rare words of each group; groups come one after the other."""
         known = shared.value[0]
         held: list[np.ndarray] = []
+        now = -1
 
         def distinct() -> pa.RecordBatch:
-            rows = np.unique(np.concatenate(held)) if held else np.zeros(0, _ASKED)
+            words = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["g"])), pa.array(np.ascontiguousarray(rows["word"]))], ["g", "word"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), now, np.int64)), pa.array(words)], ["g", "word"])
 
         for batch, i, j, words, at in _words(batches, "text"):
-            g = np.repeat(batch.column("g").to_numpy()[i:j], np.diff(at))
-            rare = _rare(words, known)
-            rows = np.empty(int(rare.sum()), _ASKED)
-            rows["g"], rows["word"] = g[rare], words[rare]
-            held.append(np.unique(rows))
-            if sum(map(len, held)) > HELD:
-                held[:] = [np.unique(np.concatenate(held))]
-                if len(held[0]) > HELD // 2:
+            g = batch.column("g").to_numpy()[i:j]
+            runs = np.flatnonzero(np.diff(g, prepend=-1))
+            for low, high in zip(runs, np.append(runs[1:], j - i), strict=True):
+                if g[low] != now or sum(map(len, held)) > HELD:
                     yield distinct()
+                    now = int(g[low])
+                some = words[at[low] : at[high]]
+                held.append(np.unique(some[_rare(some, known)]))
         yield distinct()
 
     def scored(docs: pa.Table, lexicon: pa.Table) -> pa.Table:
@@ -196,9 +197,6 @@ def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", g
             parts.append(pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), *out], ["doc_id", "n_words", "target_loss", "background_loss", "difference"]))
         return pa.Table.from_batches(parts)
 
-    lexicon = grouped.mapInArrow(asked, "g bigint, word bigint").join(model.others, "word").select("g", "word", "target_loss", "background_loss")
+    lexicon = grouped.sortWithinPartitions("g").mapInArrow(asked, "g bigint, word bigint").join(model.others, "word").select("g", "word", "target_loss", "background_loss")
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words bigint, target_loss double, background_loss double, difference double"
     return grouped.groupBy("g").cogroup(lexicon.groupBy("g")).applyInArrow(scored, schema)
-
-
-_ASKED = np.dtype([("g", np.int64), ("word", np.int64)])
