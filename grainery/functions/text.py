@@ -19,6 +19,14 @@ STOP_WORDS = (
 OPERATORS = ["and", "or", "not", "near"]
 TEST_DIRS = ["tests/", "test/", "__tests__/", "spec/", "specs/", "testing/", "testutil/", "test_utils/", "testdata/"]
 TEST_NAMES = ["test.rs", "test.py", "test.go", "test.ts", "test.js"]
+NOTE_LINES = r"^(#|<!--|-->|- \[[x ]\]|https?://)"
+NOTE_STARTS = [
+    "i have searched", "i have read", "i have checked", "i'm submitting", "i am submitting", "is there an existing issue", "have you read the", "current behavior", "expected behavior",
+    "steps to reproduce", "additional context", "environment", "operating system", "python version", "node version", "browser version", "package version", "describe the bug", "to reproduce",
+    "actual behavior", "reproduction", "minimal reproduction", "version information", "system information", "what version", "affected version",
+]
+NAMED_PATH = r"[a-zA-Z_][a-zA-Z0-9_/.-]*\.[a-z]{1,4}(?::\d+)?"
+SHORT_WORDS, MOST_WORDS = 40, 100
 TEST_FOLDERS = ["test", "tests", "__tests__", "spec", "specs"]
 TEST_ENDINGS = ["_test.go", "_test.rs", ".test.ts", ".test.js", ".test.tsx", ".test.jsx", ".spec.ts", ".spec.js", ".spec.tsx", ".spec.jsx", "_spec.rb"]
 META_NAMES = ["readme.md", "readme.rst", "readme.txt", "readme", "changelog.md", "changelog.rst", "changes.md", "changes.rst", "contributing.md", "contributing.rst", "license", "license.md", "license.txt", "code_of_conduct.md", "security.md"]
@@ -83,6 +91,29 @@ def expand_query(query: Column) -> Column:
     return F.when((F.size(parts) == 0) | (F.size(parts) == F.size(words_of(query))), query).otherwise(F.concat(query, F.lit(" "), F.array_join(parts, " ")))
 
 
+def issue_query(text: Column) -> Column:
+    """A report as a query: its prose without code blocks, headings, forms and links, whole lines up to 100 words if it has over 40, and the
+    names in back-ticks and paths that the prose kept does not contain."""
+    none = F.array().cast("array<string>")
+    trimmed = F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    state = F.struct(F.lit(False).alias("fenced"), none.alias("lines"))
+    kept = F.aggregate(
+        trimmed,
+        state,
+        lambda a, x: F.when(x.startswith("```"), F.struct((~a["fenced"]).alias("fenced"), a["lines"].alias("lines"))).otherwise(F.struct(a["fenced"].alias("fenced"), F.when(a["fenced"], a["lines"]).otherwise(F.array_append(a["lines"], x)).alias("lines"))),
+    )["lines"]
+    prose = F.filter(kept, lambda x: (x != "") & ~x.rlike(NOTE_LINES) & ~any_of(F.lower(x).startswith(b) for b in NOTE_STARTS))
+    names = lambda x: F.concat(F.filter(F.regexp_extract_all(x, F.lit("`([^`]*)`"), 1), lambda s: (s != "") & (F.octet_length(s) <= 80)), F.regexp_extract_all(x, F.lit(NAMED_PATH), 0))
+    named = F.array_distinct(F.flatten(F.transform(prose, names)))
+    count = lambda x: F.size(F.split(x, r"\s+"))
+    total = F.aggregate(prose, F.lit(0), lambda a, x: a + count(x))
+    short = F.aggregate(named, F.array_join(prose, " "), lambda a, s: F.when(F.contains(a, s), a).otherwise(F.concat(a, F.lit(" "), s)))
+    begun = F.struct(F.lit(0).alias("n"), none.alias("lines"))
+    first = F.aggregate(prose, begun, lambda a, x: F.struct((a["n"] + count(x)).alias("n"), F.when(a["n"] + count(x) > MOST_WORDS, a["lines"]).otherwise(F.array_append(a["lines"], x)).alias("lines")))["lines"]
+    long = F.array_join(F.aggregate(named, first, lambda a, s: F.when(F.exists(a, lambda r: F.contains(r, s)), a).otherwise(F.array_append(a, s))), " ")
+    return F.when(total <= SHORT_WORDS, short).otherwise(F.when(F.trim(long) == "", text).otherwise(long))
+
+
 def _mixed_case(w: Column) -> Column:
     return w.rlike(r"\p{Lu}") & w.rlike(r"\p{Ll}")
 

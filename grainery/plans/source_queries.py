@@ -9,6 +9,7 @@ from grainery.operators import evaluate as V
 from grainery.operators import goldset as H
 from grainery.operators import imports as M
 from grainery.operators import symbols as Y
+from grainery.streaming import events as E
 
 from .search_queries import PATHS_SQL, _list, _paths, read
 from .structure_queries import EDGES, _edges
@@ -81,8 +82,14 @@ def line_set_f1(spark, d):
     return V.f1(want, got, "by", ["file", "line"]).select("by", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"))
 
 
-QUERIES = {f.__name__: f for f in (transform_query, gold_commit_filter, test_file_flags, import_paths, python_imports, call_trace, line_set_f1)}
+def lease_spans(spark, d):
+    events = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return E.leases(events, "user_id", "2 hours").select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("expires").alias("expires"), "beats")
+
+
+QUERIES = {f.__name__: f for f in (lease_spans, transform_query, gold_commit_filter, test_file_flags, import_paths, python_imports, call_trace, line_set_f1)}
 SQL = {
+    "lease_spans": "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 7200000000 AS expires, count(*) AS beats FROM b GROUP BY user_id, s",
     "transform_query": f'WITH {SUBJECTS}, {QUERY_SQL} SELECT "commit", query FROM asked',
     "gold_commit_filter": rf"""WITH {SUBJECTS}, {TOUCHED}, {QUERY_SQL},
 f AS (SELECT "commit", count(*) AS n, string_agg(DISTINCT path, ',' ORDER BY path) AS files FROM touched WHERE added > 0 AND NOT regexp_matches(path, '{H.SIDE_PATHS}', 'i') GROUP BY 1 HAVING count(*) <= {H.MOST_FILES})

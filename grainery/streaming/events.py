@@ -22,3 +22,12 @@ def debounced(events: DataFrame, by: str, quiet: str = "2 seconds", late: str =
 def incremental(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str):
     """Calls `step` once for every batch of what has arrived, remembers how far it came, and stops."""
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def leases(beats: DataFrame, by: str, ttl: str = "90 seconds", late: str = "10 minutes") -> DataFrame:
+    """(by, start, expires, beats): a lease lives from its first heartbeat until one is missing for `ttl`; works on streams and on tables.
+
+    Two beats just `ttl` apart are one lease.
+    """
+    held = beats.withWatermark("ts", late).groupBy(F.session_window("ts", ttl).alias("w"), by).agg(F.count("*").alias("beats"))
+    return held.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("expires"), "beats")

@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainery.engine import Engine
+from grainery.functions import text as T
 from grainery.operators import goldset, imports, symbols
+from grainery.streaming import events
 
 FILES = {
     "src/lib.rs": "mod util;\nuse crate::util::helper;\n\npub fn add(a: i32) -> i32 {\n    helper(a)\n}\n\npub struct Registry {\n    n: i32,\n}\n",
@@ -111,3 +113,29 @@ def test_gold_columns(spark):
     commits = spark.createDataFrame([(1, "fix: handle empty input well"), (2, "bump version of things"), (3, "add support for many files")], "commit int, subject string")
     touched = spark.createDataFrame([(1, "a.py", 1), (1, "tests/a.py", 3), (1, "b.py", 0), *[(3, f"f{i}.py", 1) for i in range(21)]], "commit int, path string, added int")
     assert [tuple(r) for r in goldset.cases(commits, touched).collect()] == [(1, "handle empty input well", ["a.py"], "keyword_code", "low")]
+
+
+def test_issue_query(spark):
+    block = "```\nx = hidden(1)\n```"
+    many = "\n".join(["word " * 30 + f"line{i}" for i in range(5)])
+    cases = [
+        (f"# Title\nThe `parse_all` call fails in src/a.py:12\n{block}\n- [x] I agree\nSteps to reproduce: none\nhttps://x.org", "The `parse_all` call fails in src/a.py:12"),
+        ("", ""),
+        ("see `a b`\nand `a b`", "see `a b` and `a b`"),
+        (many + "\nuse `retry` in lib/net.rs", " ".join(("word " * 30 + f"line{i}") for i in range(3)) + " retry lib/net.rs"),
+        ("open ``` in the middle\n```rust\nkept?\n", "open ``` in the middle"),
+        ("word " * 101, "word " * 101),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", T.issue_query(F.col("t")))
+    assert [v for _, v in sorted(rows.collect())] == [w for _, w in cases]
+
+
+def test_lease_stream(spark, tmp_path):
+    beats = spark.createDataFrame([("a", 0), ("a", 60), ("a", 151), ("b", 10), ("b", 190), ("b", 100), ("b", 5000)], "client string, s int").select("client", F.timestamp_seconds("s").alias("ts"))
+    want = {("a", 0, 150, 2), ("a", 151, 241, 1), ("b", 10, 280, 3), ("b", 5000, 5090, 1)}
+    assert {(r.client, int(r.start.timestamp()), int(r.expires.timestamp()), r.beats) for r in events.leases(beats, "client").collect()} == want
+    beats.coalesce(1).write.parquet(f"{tmp_path}/in")
+    held = events.leases(spark.readStream.schema(beats.schema).parquet(f"{tmp_path}/in"), "client")
+    held.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    out = {(r.client, int(r.start.timestamp())) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert out == {("a", 0), ("a", 151), ("b", 10)}  # the last lease is open until a later beat moves the watermark
