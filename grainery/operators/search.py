@@ -49,7 +49,8 @@ def bm25_stored(posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int)
     asked = queries.select("qid", F.explode(F.array_distinct(code_tokens(F.col("query")))).alias("term"))
     n, avgdl = stats.select("n", "avgdl").first()
     avgdl = avgdl or 1.0
-    df = posted.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    posted = posted.join(asked.select("term").distinct(), "term", "left_semi")
+    df = posted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
     weighted = asked.join(df, "term").select("qid", "term", "df").join(posted, "term")
