@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search_queries, source_queries, structure_queries
+from . import ranking_queries, search_queries, source_queries, structure_queries
 
-QUERIES = {**search_queries.QUERIES, **structure_queries.QUERIES, **source_queries.QUERIES}
-SQL: dict[str, str] = {**search_queries.SQL, **structure_queries.SQL, **source_queries.SQL}
+QUERIES = {**search_queries.QUERIES, **structure_queries.QUERIES, **source_queries.QUERIES, **ranking_queries.QUERIES}
+SQL: dict[str, str] = {**search_queries.SQL, **structure_queries.SQL, **source_queries.SQL, **ranking_queries.SQL}
