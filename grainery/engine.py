@@ -8,10 +8,13 @@ import shutil
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from grainery.functions import models as N
 from grainery.functions import text as T
+from grainery.operators import augment as A
 from grainery.operators import chunks as C
 from grainery.operators import evaluate as V
 from grainery.operators import graph as G
+from grainery.operators import history as H
 from grainery.operators import imports as M
 from grainery.operators import intervals as I
 from grainery.operators import search as S
@@ -26,8 +29,9 @@ MOST_SYMBOLS = 15
 class Engine:
     """store: a folder that driver and executors share. An index is a generation of tables; queries read the one that CURRENT names."""
 
-    def __init__(self, spark: SparkSession, root: str, store: str, go_module: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, store: str, go_module: str | None = None, embedder: str = "hash"):
         self.spark, self.root, self.store, self.go_module = spark, root, store, go_module
+        self.embedder = N.model("embedder", embedder)()
 
     def _scan(self) -> DataFrame:
         """The files of the tree that are indexed, without their texts. Those with zero bytes are listed, but have no chunks."""
@@ -38,16 +42,20 @@ class Engine:
 
     # ---- maintenance ----
 
-    def index(self) -> str:
-        """Reads the tree and publishes a new generation; only files whose time or size changed are cut and parsed again."""
+    def index(self, log: DataFrame | None = None) -> str:
+        """Reads the tree and publishes a new generation; only files whose time or size changed are cut, embedded and parsed again.
+
+        log: numbered lines (n, line) of the tree's history, for files that change together; without it those of the last index stay.
+        """
         os.makedirs(self.store, exist_ok=True)
         scan = self._scan()
         old = {n: self.table(n) for n in ("files", "chunks", "symbols", "calls", "statements")} if os.path.exists(f"{self.store}/CURRENT") else {}
         manifest = scan
         fresh = files.read_texts(scan if not old else D.changed(scan.select("path", "mtime", "size"), old["files"]), self.root)
         kept = manifest.join(old["files"].select("path", "mtime", "size"), ["path", "mtime", "size"], "left_semi").select(F.col("path").alias("file")) if old else None
+        cut = C.window_chunks(fresh.select(F.col("path").alias("file"), "text"), "file", "text").withColumn("key", F.concat_ws(":", "file", "chunk_idx"))
         new = {
-            "chunks": C.window_chunks(fresh.select(F.col("path").alias("file"), "text"), "file", "text").withColumn("key", F.concat_ws(":", "file", "chunk_idx")),
+            "chunks": cut.withColumn("v", self.embedder.column(N.embed_text(F.col("file"), F.lit("text"), F.col("content"), F.lit("")))),
             "symbols": Y.definitions(fresh),
             "calls": Y.calls(fresh),
             "statements": M.statements(fresh),
@@ -66,6 +74,12 @@ class Engine:
             "roles": G.roles(edges),
             "call_edges": read("calls").join(callers, ["file", "line"], "left"),
         }
+        if log is not None:
+            derived["cochange"] = H.cochange(files.commit_log(log))
+        elif old:
+            derived["cochange"] = self.table("cochange")
+        else:
+            derived["cochange"] = self.spark.createDataFrame([], "file_a string, file_b string, together bigint, jaccard double")
         try:
             return D.publish_all(derived, self.store)
         finally:
@@ -93,20 +107,91 @@ class Engine:
 
     # ---- search ----
 
-    def search(self, query: str, top_k: int = 5, scope: str | None = None, max_tokens: int | None = None) -> DataFrame:
-        """(rank, file, start_line, end_line, score, match_quality, content): BM25 over chunks, weighed by the kind of path and role of a file."""
-        asked = self.spark.createDataFrame([(0, query)], "qid int, query string").select("qid", T.expand_query(F.col("query")).alias("query"))
-        hits = S.bm25_stored(self.table("postings"), self.table("stats"), asked, 6 * top_k)
-        rows = hits.select("qid", "key", "score").join(self.table("chunks"), "key")
-        if scope is not None:
-            rows = rows.where(in_scope(F.col("file"), scope))
+    def _legs(self, query: str, most: int, legs: tuple[str, ...], vector: Column) -> dict[str, DataFrame]:
+        """The first `most` chunks by keywords and by cosine. Zero vectors are near to nothing."""
+        found = {}
+        if "fts" in legs:
+            words = self._one(T.sanitize_query(F.lit(self._one(T.expand_query(F.lit(query))))))
+            found["fts"] = S.bm25_stored(self.table("postings"), self.table("stats"), self.spark.createDataFrame([(0, words)], "qid int, query string"), most)
+        if "vector" in legs:
+            near = self.table("chunks").select("key", A.cosine(vector, F.col("v")).alias("score")).where("score <> 0")
+            found["vector"] = S.ranked(near.orderBy(F.desc(F.round("score", 9)), "key").limit(most).select(F.lit(0).alias("qid"), "key", "score"))
+        return found
+
+    def _one(self, value: Column):
+        """A constant expression's value. Rules about queries are long, so each is evaluated by itself and the next one gets its value."""
+        return self.spark.range(1).select(value).first()[0]
+
+    def _held(self, hits: DataFrame) -> DataFrame:
+        """Hits of one query as a local table: top_k of them and at most 30 along imports and max(50, 2 * top_k) of the sparse leg."""
+        return self.spark.createDataFrame(hits.toArrow(), hits.schema)
+
+    def search(
+        self,
+        query: str,
+        top_k: int = 5,
+        scope: str | None = None,
+        max_tokens: int | None = None,
+        legs: tuple[str, ...] = ("fts", "vector"),
+        depth: int = 1,
+        sparse_weight: float = 0.0,
+        cochange_boost: float = 0.1,
+        diversity: float = 0.0,
+        reranker: str | None = None,
+        changed: DataFrame | None = None,
+    ) -> DataFrame:
+        """(rank, file, start_line, end_line, score, match_quality, why, content).
+
+        The first 3 * top_k chunks by BM25 and by cosine are fused by their ranks to top_k; chunks along imports (depth 0: none), those that
+        only the sparse leg has and files that change together come beside them, so that there may be more than top_k rows. Then order by
+        diversity and a reranker (skipped where the first hit stands out), weights of paths and roles, labels, and a budget of tokens.
+        scope: a folder; changed: paths (column path) of a branch.
+        """
+        unknown = set(legs) - {"fts", "vector"}
+        if unknown or not legs:
+            raise ValueError(f"unknown legs {sorted(unknown)}; fts, vector or both")
+        rerank = None if reranker is None else N.model("reranker", reranker)
+        said = self._one(T.issue_query(F.lit(query)))
+        asked = self.spark.createDataFrame([(said,)], "query string").select(self.embedder.query(F.col("query")).alias("qv"))
+        vector = F.array(*[F.lit(float(x)) for x in asked.first()["qv"]])
+        chunks = self.table("chunks")
+        within = chunks if scope is None else chunks.where(in_scope(F.col("file"), scope))
+        found = self._legs(said, 3 * top_k if scope is None else 6 * top_k, legs, vector)
+        fused = S.rrf(found, 6 * top_k) if len(found) > 1 else next(iter(found.values())).select("qid", "key", "score", "rank").withColumn("why", F.lit(legs[0]))
+        fused = within.select("key", "file").join(F.broadcast(fused.drop("rank")), "key")
+        hits = self._held(S.top(fused, top_k).select("qid", "key", "file", "score", "rank", "why"))
+        rows = hits
+        if depth > 0:
+            more = A.along_imports(hits, self.table("edges"), within.select("key", "file", "v"), self.spark.range(1).select(F.lit(0).alias("qid"), vector.alias("qv")), depth)
+            rows = self._held(S.ranked(more.where("why = 'graph'").select("qid", "key", "file", "score", "why").unionByName(hits.drop("rank"))))
+        if sparse_weight > 0:
+            index = self.table("postings").select("key", F.col("term").alias("token"), F.log1p("tf").alias("weight"))
+            words = self.spark.range(1).select(F.lit(0).alias("key"), F.lit(query).alias("text"))
+            leg = S.sparse_dot(index, N.sparse_weights(words, "key", "text").withColumnRenamed("key", "qid"), max(50, 2 * top_k))
+            known = rows.select("key", F.col("why").alias("was"))
+            both = A.promoted(rows.select("qid", "key", "rank"), leg, sparse_weight).join(known, "key", "left").select("qid", "key", "score", "rank", F.coalesce("was", "why").alias("why"))
+            rows = self._held(within.select("key", "file").join(F.broadcast(both), "key"))
+        if cochange_boost > 0:
+            rows = S.ranked(H.cochange_boost(rows, self.table("cochange"), cochange_boost).drop("rank"))
+        rows = chunks.drop("file").join(F.broadcast(rows), "key")
+        if diversity > 0:
+            order = S.mmr(rows.select("qid", "key", "rank", "v"), self.spark.range(1).select(F.lit(0).alias("qid"), vector.alias("qv")), diversity)
+            rows = rows.join(order, ["qid", "key"]).drop("rank").withColumnRenamed("place", "rank")
+        if rerank is not None:
+            rows = self._held(rows)
+            strong = S.strong_signal(rows)
+            judged = rows.withColumn("rerank", rerank(F.lit(query), F.col("content")))
+            blend = S.rerank_blend(judged, F.col("rerank")).select("qid", "key", F.col("score").alias("blended"))
+            rows = rows.join(blend, ["qid", "key"]).join(strong, "qid").withColumn("score", F.when(F.col("strong"), F.col("score")).otherwise(F.col("blended")))
         roles = self.table("roles").select(F.col("node").alias("file"), "role")
         weight = F.when(F.col("role") == "entry", 1.1).when(F.col("role") == "core", 1.05).when(F.col("role") == "utility", 0.5).otherwise(1.0)
         rows = rows.join(roles, "file", "left").withColumn("score", F.col("score") * T.path_multiplier(F.col("file"), F.lit(query)) * weight)
-        best = S.quality_labels(S.top(rows, top_k))
+        best = S.quality_labels(S.ranked(rows.drop("rank")))
         if max_tokens is not None:
             best = S.token_budget(best, "content", max_tokens)
-        return best.select("rank", "file", "start_line", "end_line", "score", "match_quality", "content").orderBy("rank")
+        if changed is not None:
+            best = A.in_branch(best, changed)
+        return best.select("rank", "file", "start_line", "end_line", "score", "match_quality", "why", "content").orderBy("rank")
 
     def grep(self, pattern: str, ignore_case: bool = False, most: int | None = 100) -> DataFrame:
         tree = files.tree(self.spark, self.root).select(F.col("path").alias("file"), "text")

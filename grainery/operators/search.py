@@ -187,7 +187,8 @@ def mmr(hits: DataFrame, query_vectors: DataFrame, diversity: float = 0.3) -> Da
         out["place"] = range(1, len(out) + 1)
         return out
 
-    return hits.join(query_vectors, "qid").groupBy("qid").applyInPandas(reorder, "qid bigint, key bigint, place int")
+    types = {c: hits.schema[c].dataType.simpleString() for c in ("qid", "key")}
+    return hits.join(query_vectors, "qid").groupBy("qid").applyInPandas(reorder, f"qid {types['qid']}, key {types['key']}, place int")
 
 
 def tier_dedup(hits: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from grainery.functions import models as M
 from grainery.operators import augment as A
+from grainery.operators import graph as G
 from grainery.operators import search as S
 from grainery.streaming import events as E
 from grainery.streaming import state as R
@@ -42,7 +43,8 @@ SIM = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), ch.v)"
 
 def graph_augment(spark, d):
     """The first five hits, what imports reach within two steps, and vectors near the hits."""
-    hits, chunks = _hits(spark, d, 5), _chunks(spark, d)
+    G.ensure_checkpoint_dir(spark)
+    hits, chunks = _hits(spark, d, 5).checkpoint(), _chunks(spark, d)
     seeds = hits.select("key").distinct()
     vectors = read(spark, d, "embeddings")
     near = S.knn(vectors, vectors.join(seeds, vectors["vec_id"] == seeds["key"], "left_semi"), 20, "vec_id", "embedding").select(F.col("qid").alias("seed"), "key", (1 - F.col("score")).alias("dist"))

@@ -70,7 +70,8 @@ def test_symbols(engine):
 def test_search_and_structure(engine):
     best = engine.search("how does parse tokens work", 3).collect()
     assert best[0]["file"] == "app/core/parse.py" and best[0]["match_quality"] == "high"
-    assert {r["file"] for r in engine.search("parse tokens", 5, scope="web").collect()} == set()
+    assert {r["file"] for r in engine.search("parse tokens", 5, scope="web", legs=("fts",)).collect()} == set()
+    assert {r["file"].split("/")[0] for r in engine.search("parse tokens", 5, scope="app").collect()} == {"app"}
     assert [(r["file"], r["line_number"]) for r in engine.grep("struct Reg").collect()] == [("src/lib.rs", 8)]
     assert engine.smart_search("retry").first()["file"] == "web/lib/b.ts"
     assert {(r["file"], r["kind"]) for r in engine.find_dependents("src/util.rs").collect()} == {("src/lib.rs", "direct"), ("src/net/mod.rs", "direct")}
@@ -85,6 +86,21 @@ def test_search_and_structure(engine):
         engine.smart_search("x", "guess")
 
 
+def test_search_steps(spark, engine):
+    base = engine.search("add helper", 3, legs=("fts",), depth=0, cochange_boost=0).collect()
+    grown = engine.search("add helper", 3, legs=("fts",), depth=2).collect()
+    assert {r["file"] for r in base} <= {r["file"] for r in grown} and {r["why"] for r in base} == {"fts"}
+    files = {r["file"] for r in engine.search("parse tokens", 4, sparse_weight=0.2, diversity=0.4, reranker="overlap").collect()}
+    assert "app/core/parse.py" in files
+    few = engine.search("parse tokens", 4, changed=spark.createDataFrame([("core/parse.py",)], "path string")).collect()
+    assert {r["file"] for r in few} == {"app/core/parse.py"}
+    assert engine.search("parse tokens", 4, max_tokens=1).count() == 1
+    assert engine.search("", 4).count() == 0
+    for wrong in ({"legs": ("x",)}, {"legs": ()}, {"reranker": "x"}):
+        with pytest.raises(ValueError):
+            engine.search("parse", **wrong)
+
+
 def test_trace(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "d"), ("d", "c")], "src string, dst string")
     assert [r.via for r in symbols.call_trace(edges, "a", "c").collect()] == ["b", "d"]
