@@ -35,7 +35,7 @@ def single_flight(events: DataFrame) -> DataFrame:
 
 
 def lease_stream(beats: DataFrame, ttl_seconds: int = 90, late: str = "10 minutes") -> DataFrame:
-    """(client, state, at) of heartbeats (client, ts): `held` at a client's first beat, `expired` once the watermark is past its last beat and ttl.
+    """(client, state, at) of heartbeats (client, ts): `held` at a client's first beat, `expired` once the watermark or a later beat is past its last beat and ttl.
 
     A beat after that opens a new lease. The state of a client is the time of its last beat in milliseconds, dropped when the lease expires.
     """
@@ -47,8 +47,14 @@ def lease_stream(beats: DataFrame, ttl_seconds: int = 90, late: str = "10 minute
             yield pd.DataFrame({"client": [key[0]], "state": ["expired"], "at": [last + ttl_seconds * 1000]})
             return
         times = sorted(int(t.value // 1_000_000) for f in frames for t in f["ts"])
-        out = [] if state.exists else [("held", times[0])]
-        last = max(times[-1], state.get[0] if state.exists else 0)
+        last, out = state.get[0] if state.exists else None, []
+        for t in times:
+            if last is not None and t > last + ttl_seconds * 1000:
+                out.append(("expired", last + ttl_seconds * 1000))
+                last = None
+            if last is None:
+                out.append(("held", t))
+            last = t if last is None else max(last, t)
         state.update((last,))
         state.setTimeoutTimestamp(max(last + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": [key[0]] * len(out), "state": [s for s, _ in out], "at": [a for _, a in out]})
