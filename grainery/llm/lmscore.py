@@ -1,11 +1,14 @@
 """Cross-entropy difference: matched target and background models over one shared vocabulary score each document by the
 mean, over its words, of the difference of the two losses.
 
-The vocabulary is every word of target and background together. The CLASSES most frequent words are a class each and all
-other words are one more; P(word | word before) = P(class | class before) * P(word | class). Both models are interpolated
+The vocabulary is every word of target and background together. Both models are interpolated Witten-Bell bigrams of all
+its words with add-one unigrams, the same start symbol and one unseen word; all pairs are counted (see bigrams).
+
+With a size, the models are smaller ones of classes: the `size` most frequent words are a class each and all other words
+are one more; P(word | word before) = P(class | class before) * P(word | class). Both are then interpolated
 Witten-Bell bigrams of classes with the same start symbol, and within the class of other words interpolated Witten-Bell
 unigrams of the words themselves. All counts cover every text and are added up by key. The table of class losses, whose
-size CLASSES fixes (its square), is what every task gets; the losses of other words grow with the input, so they are
+size is fixed (its square), is what every task gets; the losses of other words grow with the input, so they are
 never gathered but joined by word with the distinct words of groups of GROUP_BYTES of text. Words are compared by 64-bit
 hashes.
 
@@ -22,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bigrams
 from .common import passes, text_bytes, word_hashes, written
 
-CLASSES = 1024
 GROUP_BYTES = 16 << 20
 #: Distinct words that a task holds before it passes them on.
 HELD = 1 << 20
@@ -41,6 +44,14 @@ class Model(NamedTuple):
     unseen: tuple[float, float]
 
 
+class Whole(NamedTuple):
+    """The texts of a model of all words, which are counted together with the texts to score."""
+
+    target: DataFrame
+    background: DataFrame
+    text: str
+
+
 def _words(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
     for batch in batches:
         data, offsets = text_bytes(batch.column(column))
@@ -110,7 +121,10 @@ def losses(table: np.ndarray) -> np.ndarray:
     return -np.log((1 - weight) * table / np.maximum(1, total) + weight * one)
 
 
-def train(target: DataFrame, background: DataFrame, text: str = "text", size: int = CLASSES) -> Model:
+def train(target: DataFrame, background: DataFrame, text: str = "text", size: int | None = None) -> Model | Whole:
+    """A model of all words, or one of classes where a size is given."""
+    if size is None:
+        return Whole(target, background, text)
     zero = F.lit(0).cast("long")
     both = word_counts(target, text).select("word", F.col("n").alias("t"), zero.alias("b")).unionByName(word_counts(background, text).select("word", zero.alias("t"), F.col("n").alias("b")))
     counts = written(both.groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "lmscore-words")
@@ -140,11 +154,13 @@ def _rare(words: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, words), len(known) - 1)] != words
 
 
-def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+def score(df: DataFrame, model: Model | Whole, id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, difference) per row; a lower difference is more like the target.
 
     Rows are dealt to groups by their hash and the task they come from, so that equal rows do not all meet in one group.
     """
+    if isinstance(model, Whole):
+        return bigrams.score(df, model.target, model.background, id, text, model.text, group_bytes)
     source = df.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     group = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(1 + size // group_bytes)).alias("g")

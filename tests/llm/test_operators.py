@@ -340,6 +340,41 @@ def test_cross_entropy_difference(docs, texts, spark, empty):
     assert lmscore.score(empty, lmscore.train(tdf.where("false"), empty)).count() == 0
 
 
+def test_cross_entropy_counts_pairs_of_all_words(docs, texts, spark):
+    target = [prose(30) for _ in range(5)] + [None, texts[6]]
+    fitted = lmscore.train(spark.createDataFrame([(t,) for t in target], "text string"), docs)
+    new = ["zq never " + prose(20) + " seen zq", texts[6]]
+    vocabulary = {w for t in [*target, *texts] for w in words(t)}
+
+    def model(some):
+        pairs, one, total, kinds = Counter(), Counter(), Counter(), Counter()
+        for t in some:
+            one.update(words(t))
+            pairs.update(zip([b"^", *words(t)], words(t), strict=False))
+        for (a, _), c in pairs.items():
+            total[a] += c
+            kinds[a] += 1
+
+        def loss(a, b):
+            even = (one[b] + 1) / (sum(one.values()) + len(vocabulary) + 1)
+            return -math.log((pairs[a, b] + kinds[a] * even) / (total[a] + kinds[a]) if total[a] else even)
+
+        return loss
+
+    t_loss, b_loss = model(target), model(texts)
+    for of, df, group_bytes in ((texts, docs, 4096), (texts, docs, 1 << 24), (new, spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), 4096)):
+        got = {r.doc_id: r for r in lmscore.score(df, fitted, group_bytes=group_bytes).collect()}
+        assert len(got) == len(of)
+        for i, t in enumerate(of):
+            steps = list(zip([b"^", *words(t)], words(t), strict=False))
+            assert got[i].n_words == len(steps)
+            if steps:
+                assert abs(got[i].target_loss - sum(t_loss(*s) for s in steps) / len(steps)) < 1e-6
+                assert abs(got[i].background_loss - sum(b_loss(*s) for s in steps) / len(steps)) < 1e-6
+            else:
+                assert got[i].difference is None
+
+
 def test_pipeline(spark, tmp_path, docs, texts):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
