@@ -35,13 +35,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of every group of near duplicates, and one row of every id kept."""
-    kept = written(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")), "kept")
-    ids = kept.distinct().hint("shuffle_hash")  # they grow with the input, so they are never broadcast
-    some = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["kept_id"]), "left_semi")
-    if kept.count() > ids.count():
-        some = some.withColumn("same", F.struct("*")).groupBy("doc_id").agg(F.first("same").alias("row")).select("row.*")
-    return some
+    """Keeps one row of every group of near duplicates: that of the least id, or of none if all ids are null.
+
+    Rows are numbered, so that null or repeated ids link nothing. Texts without words are in no group and all stay.
+    """
+    rows = written(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "numbered")
+    found = neardup.near_duplicates(rows.select("number", "row.text"), id="number").select(F.col("doc_id").alias("number"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number"))
+    kept = found.join(rows.select("number", "row.doc_id"), "number").groupBy("component_id").agg(first.alias("first")).select("first.number")
+    return rows.join(kept.hint("shuffle_hash"), "number", "left_semi").select("row.*")  # they grow with the input, so they are never broadcast
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

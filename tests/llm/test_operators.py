@@ -391,3 +391,11 @@ def test_pipeline(spark, tmp_path, docs, texts):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs.unionByName(docs.where("doc_id = 6")), str(tmp_path)).collect()} == want
     cut = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, docs, str(tmp_path)).collect()}
     assert cut[3] == "one" and cut[14] == "" and len(cut) == len(texts)
+
+
+def test_pipeline_near_dedup_decides_per_text(spark, tmp_path):
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(None, a), (None, b), (7, b), (7, c), (7, c), (None, c), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (7, b), (7, c)], key=str)
