@@ -27,6 +27,8 @@ WINDOW = 2048
 END = 1
 #: Tokens that a task holds at once; a block ends with the document that reaches it.
 BLOCK_TOKENS = 8 << 20
+#: The added token of byte_bpe_50k.json, which stands for itself wherever a text holds it.
+ADDED = {"<|endoftext|>": 50256}
 #: The narrowest gap that a piece is cut for.
 LEAST_CUT = 64
 
@@ -131,7 +133,7 @@ def tokenizer(path: str) -> tiktoken.Encoding:
     if path not in _tokenizers:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _tokenizers[path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _tokenizers[path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
     return _tokenizers[path]
 
 
@@ -169,7 +171,7 @@ def pack(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = WI
         names, tokens, held = [], [], 0
         for batch in batches:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = encode(t.as_py(), disallowed_special=())
+                got = encode(t.as_py(), allowed_special="all")
                 got = np.append(got, end).astype("<u4")
                 names.append(name)
                 tokens.append(got)

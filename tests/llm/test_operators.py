@@ -99,6 +99,18 @@ def test_packing_holds_every_token_once(docs, texts, empty):
     assert padding <= 64 * len(sequences) and packing.pack(empty).count() == 0
 
 
+def test_packing_of_the_added_token(spark):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    some = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> \n<|endoftext|><|endoftext|>x", "<|endoftext|", "é <|endoftext|>  two", "<|ENDOFTEXT|>"]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    for i, t in enumerate(some):
+        want = reference.encode(t, add_special_tokens=False).ids + [1]
+        got = sorted(packing.pack(df.where(F.col("doc_id") == i), ids=True).collect(), key=lambda r: r.start)
+        assert [x for r in got for x in r.ids] == want and all(r.doc_tokens == len(want) for r in got)
+
+
 @pytest.mark.parametrize("sizes", [[], [1], [2048], [2049, 5000], [1500, 600, 500, 40, 40], [RANDOM.randint(1, 3000) for _ in range(400)]])
 def test_packing_plan(sizes):
     seen = defaultdict(list)
