@@ -7,7 +7,9 @@ the upper bits of the hashes leads to the few entries that a lookup has to look
 lowest cross-entropy per character; a text is marked rejected if even that exceeds the calibrated quantile of the
 losses of held-back sample texts.
 
-The models learn from a bounded sample (SAMPLE whole texts per language, by a hash of their id); every text is scored whole.
+The models learn from a bounded sample (SAMPLE whole texts per language, by a hash of their id; of a repeated id one text, the least).
+Executors count its n-grams and compute the losses of the texts held back, so that the driver gets counts and losses but no text; the
+smallest hashes are picked within SALTS parts of a language first, so that no task meets a whole language. Every text is scored whole.
 Null texts and texts without a letter give `und` with score 0. Ties go to the language that sorts first.
 """
 
@@ -21,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, passes, text_bytes
+from .common import mix, passes, text_bytes, written
 
-SAMPLE, ORDER, DISCOUNT = 400, 4, 0.75
+SAMPLE, ORDER, DISCOUNT, SALTS = 400, 4, 0.75, 256
 #: Share of held-back sample texts in their own language that rejection may mark.
 REJECTED = 0.002
 UNKNOWN = "und"
@@ -107,9 +109,9 @@ def _counts(symbols: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 class Model:
-    def __init__(self, languages: list[str], streams: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER, discount: float = DISCOUNT):
+    def __init__(self, languages: list[str], counts: list[list[tuple[np.ndarray, np.ndarray]]], order: int = ORDER, discount: float = DISCOUNT):
+        """counts: per language and order the sorted n-grams and how often each occurs."""
         self.languages, self.order = languages, order
-        counts = [[_counts(*s, n) for n in range(1, order + 1)] for s in streams]
         union = [np.unique(np.concatenate([c[n][0] for c in counts])) if counts else np.zeros(0, U64) for n in range(order)]
         self.floor = -np.log(2.0 + len(union[0]))
         p = np.full((len(union[0]), len(languages)), 1.0 / (2 + len(union[0])))
@@ -201,26 +203,57 @@ class Model:
         self.limit = float(np.quantile(losses[np.arange(len(gold)), gold], 1 - share)) * 1.05
 
 
-def train(documents: DataFrame, learn=None, n: int = SAMPLE) -> Model:
-    """Models of every language in `lang`, from at most n texts each. learn: which ids (a Column over doc_id) may be used."""
+def sample(documents: DataFrame, learn=None, n: int = SAMPLE) -> DataFrame:
+    """(lang, k, text): at most n ids per language, numbered from 1 by a hash, each with one text."""
     rows = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if learn is not None:
         rows = rows.where(learn)
     # ids first, texts only of those picked
-    picked = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("k") <= n)
-    got = sorted(tuple(r) for r in rows.join(F.broadcast(picked.select("doc_id", "lang", "k")), ["doc_id", "lang"]).select("lang", "k", "text").collect())
-    languages = sorted({r[0] for r in got})
-
-    def gathered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        data, offsets = text_bytes(pa.array(texts, pa.large_string()))
-        return data, offsets
-
-    held = [(r[0], r[2]) for r in got if r[1] % 5 == 0]
-    model = Model(languages, [stream(*gathered([r[2] for r in got if r[0] == lang and (r[1] % 5 or r[1] <= 4)])) for lang in languages])
-    if held:
-        losses, size = model.losses(*gathered([t for _, t in held]))
-        ok = size >= 20
-        model.calibrate(losses[ok], np.array([languages.index(lang) for lang, _ in held])[ok])
+    ranked = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    part = Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h", "doc_id")
+    few = ranked.withColumn("j", F.dense_rank().over(part)).where(F.col("j") <= n).select("lang", "h", "doc_id").distinct()
+    picked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= n)
+    found = rows.join(F.broadcast(picked.select("doc_id", "lang", "k")), ["doc_id", "lang"])
+    return found.groupBy("lang", "k").agg(F.min("text").alias("text"))
+
+
+def train(documents: DataFrame, learn=None, n: int = SAMPLE) -> Model:
+    """Models of every language in `lang`, from at most n texts each. learn: which ids (a Column over doc_id) may be used."""
+    picked = written(sample(documents, learn, n), "languages")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.array(batch.column("lang").to_pylist(), object)
+            for lang in sorted(set(names)):
+                symbols, at = stream(*text_bytes(batch.column("text").filter(pa.array(names == lang))))
+                for order in range(1, ORDER + 1):
+                    keys, c = _counts(symbols, at, order)
+                    m = len(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array(np.full(m, order, np.int32)), pa.array(keys.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "n", "key", "c"])
+
+    counted = picked.where("k % 5 <> 0").select("lang", "text").mapInArrow(count, "lang string, n int, key bigint, c bigint")
+    got = counted.groupBy("lang", "n", "key").agg(F.sum("c").alias("c")).toArrow()
+    named, order = got.column("lang").to_numpy(), got.column("n").to_numpy()
+    keys, c = got.column("key").to_numpy().view(U64), got.column("c").to_numpy()
+    languages = sorted(set(named))
+
+    def of(lang: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        mine = np.flatnonzero((named == lang) & (order == n))
+        mine = mine[np.argsort(keys[mine])]
+        return keys[mine], c[mine]
+
+    model = Model(languages, [[of(lang, n) for n in range(1, ORDER + 1)] for lang in languages])
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            losses, size = shared.value.losses(*text_bytes(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("k"), pa.array(list(losses), pa.list_(pa.float64())), pa.array(size)], ["lang", "k", "losses", "size"])
+
+    held = picked.where("k % 5 = 0").mapInArrow(lose, "lang string, k int, losses array<double>, size bigint")
+    rows = sorted(tuple(r) for r in held.where("size >= 20").collect() if r.lang in languages) if languages else []
+    if rows:
+        model.calibrate(np.array([r[2] for r in rows]), np.array([languages.index(r[0]) for r in rows]))
     return model
 
 
