@@ -1,9 +1,10 @@
 """MinHash near-duplicate detection with tensored banding and exact verification.
 
 Documents are sets of 5-word shingles. Equal sets are one node. Each node gets two small collections of HALVES half
-keys, every one made of WIDTH minhashes; a table key is a pair of half keys, one of either collection, so that
-HALVES^2 tables need only 2 * HALVES * WIDTH minhashes. Half keys that no second node has are dropped before pairs are formed.
-At a similarity of 0.85 a pair of texts shares a table with probability (1 - (1 - 0.85^WIDTH)^HALVES)^2 > 0.9997, and more above.
+keys, every one made of WIDTH minhashes; a table key is a pair of half keys, one of either collection, so that h half keys
+on each side make h^2 tables from only 2 * h * WIDTH minhashes. Half keys that no second node has are dropped before pairs are formed.
+At the similarity s of the threshold a pair of texts shares a table with probability (1 - (1 - s^WIDTH)^h)^2, and more above;
+h is the least number that lifts it over RECALL (10 at 0.85, 13 at 0.80).
 
 Each table entry is linked to the least node of its table; the components of these tentative links are candidate groups. Groups
 are cut into blocks of bounded size, every pair of blocks of a group meets in one task, and there all links between their
@@ -11,8 +12,8 @@ whole shingle sets are decided exactly (an inverted index counts intersections);
 it found. Components of these are the result. No table or group is capped, sampled or expanded into pairs of rows.
 
 Null or empty texts have empty sets and are linked with nothing. Rows with equal texts are linked. Rows that share an id
-are one vertex. Rows with a null id are linked only with rows of an equal set, and never name a component: theirs is
-the least id among the equal rows, or null. Shingles are compared by 64-bit hashes, whole sets by 128 bits.
+are one vertex. Rows with a null id are linked like others but never name a component: theirs is the least id that they
+reach, or null, and where it is null they all stay. Shingles are compared by 64-bit hashes, whole sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .common import U64, byte_values, grams, mix, passes, text_bytes, word_hashe
 from .graph import components
 
 SHINGLE, PERCENT = 5, 85
-WIDTH, HALVES = 3, 10
+WIDTH, RECALL = 3, 0.9997
 #: Nodes and shingles of a block at most about.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 
@@ -53,7 +54,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tup
     return np.concatenate(out) if out else np.zeros(0, U64), np.cumsum([0] + [len(x) for x in out])
 
 
-def half_keys(sets: np.ndarray, at: np.ndarray, width: int = WIDTH, halves: int = HALVES) -> np.ndarray:
+def halves_at(percent: int, width: int = WIDTH) -> int:
+    """Half keys of each of the two collections."""
+    miss = 1 - (percent / 100) ** width
+    return next(h for h in range(1, 1000) if (1 - miss**h) ** 2 >= RECALL)
+
+
+def half_keys(sets: np.ndarray, at: np.ndarray, halves: int, width: int = WIDTH) -> np.ndarray:
     """(documents with a shingle, 2 * halves): each of `width` minhashes, different for every place."""
     starts = at[:-1][np.diff(at) > 0]
     out = np.zeros((len(starts), 2 * halves), U64)
@@ -68,9 +75,9 @@ def half_keys(sets: np.ndarray, at: np.ndarray, width: int = WIDTH, halves: int
     return out
 
 
-def signatures(df: DataFrame, id: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, fp1, fp2, halves) per row; the last three null where there is no word."""
-    source = df.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+def signatures(df: DataFrame, id: str, text: str, halves: int) -> DataFrame:
+    """(doc_id, th, n_shingles, fp1, fp2, halves) per row; the last three null where there is no word. th: a hash of the text."""
+    source = df.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("th"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,27 +90,27 @@ def signatures(df: DataFrame, id: str, text: str) -> DataFrame:
                 for k in some:
                     high = xxhash.xxh3_128_intdigest(sets[at[k] : at[k + 1]].tobytes())
                     prints[:, k] = np.array([high >> 64, high & 2**64 - 1], U64).view(np.int64)
-                keys = half_keys(sets, at)
-                halves: list[np.ndarray | None] = [None] * (j - i)
-                for k, row in zip(some, keys.view(np.int64), strict=True):
-                    halves[k] = row
+                own: list[np.ndarray | None] = [None] * (j - i)
+                for k, row in zip(some, half_keys(sets, at, halves).view(np.int64), strict=True):
+                    own[k] = row
                 none = size == 0
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(size), pa.array(prints[0], mask=none), pa.array(prints[1], mask=none), pa.array(halves, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp1", "fp2", "halves"])
+                ids = [batch.column(c).slice(i, j - i) for c in ("doc_id", "th")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(size), pa.array(prints[0], mask=none), pa.array(prints[1], mask=none), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "th", "n_shingles", "fp1", "fp2", "halves"])
 
-    return source.mapInArrow(run, "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, halves array<bigint>")
+    return source.mapInArrow(run, "doc_id bigint, th bigint, n_shingles bigint, fp1 bigint, fp2 bigint, halves array<bigint>")
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
+def candidate_edges(nodes: DataFrame, halves: int) -> DataFrame:
     """(u, v): every entry of a table with the least node of that table."""
     entries = nodes.select("node", F.posexplode("halves").alias("place", "half"))
     shared = entries.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    mine = entries.join(shared, "half").groupBy("node").agg(F.collect_list(F.when(F.col("place") < HALVES, F.col("half"))).alias("a"), F.collect_list(F.when(F.col("place") >= HALVES, F.col("half"))).alias("b"))
+    mine = entries.join(shared, "half").groupBy("node").agg(F.collect_list(F.when(F.col("place") < halves, F.col("half"))).alias("a"), F.collect_list(F.when(F.col("place") >= halves, F.col("half"))).alias("b"))
     tables = mine.select("node", "b", F.explode("a").alias("a")).select("node", "a", F.explode("b").alias("b")).select("node", F.xxhash64("a", "b").alias("key"))
     least = tables.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most").select("key", "v")
     return tables.join(least, "key").where("node != v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def links(sets: list[np.ndarray], side: np.ndarray, node: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], side: np.ndarray, node: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets of one block, or between the sets of two (side 0 and 1)."""
     parent = list(range(len(sets)))
 
@@ -156,11 +163,13 @@ def links(sets: list[np.ndarray], side: np.ndarray, node: np.ndarray, percent: i
     return found
 
 
-def verified(documents: DataFrame, groups: DataFrame, id: str, text: str) -> DataFrame:
-    """(u, v): links that hold between the whole sets of nodes of the same group. groups: (node, root, n_shingles)."""
+def verified(documents: DataFrame, groups: DataFrame, id: str, text: str, percent: int) -> DataFrame:
+    """(u, v): links that hold between the whole sets of nodes of the same group. groups: (node, th, root, n_shingles)."""
     sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
-    texts = documents.select(F.col(f"`{id}`").cast("long").alias("node"), F.col(f"`{text}`").alias("text")).join(placed, "node")
+    placed = groups.join(sizes, "root").select("node", "th", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    every = documents.select(F.col(f"`{id}`").cast("long").alias("node"), F.col(f"`{text}`").alias("text"))
+    nameless = every.where("node IS NULL").groupBy(F.xxhash64("text").alias("th")).agg(F.first("text").alias("text"))
+    texts = every.join(placed.where(F.col("node") < NO_ID).drop("th"), "node").unionByName(nameless.join(placed.where(F.col("node") >= NO_ID), "th").drop("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +189,7 @@ def verified(documents: DataFrame, groups: DataFrame, id: str, text: str) -> Dat
 
         def close() -> None:
             if len(sets) > 1:
-                out.extend(links(sets, np.array(own) != group[1] if group[1] != group[2] else np.zeros(len(sets), bool), np.array(node)))
+                out.extend(links(sets, np.array(own) != group[1] if group[1] != group[2] else np.zeros(len(sets), bool), np.array(node), percent))
 
         for batch in batches:
             for r, i, j, o, n, s in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "own", "node", "set")), strict=True):
@@ -199,14 +208,15 @@ def verified(documents: DataFrame, groups: DataFrame, id: str, text: str) -> Dat
     return meet.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(decide, "u bigint, v bigint")
 
 
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of df."""
-    rows = written(signatures(df, id, text), "signatures")
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of df. percent: the least similarity of a link."""
+    halves = halves_at(percent)
+    rows = written(signatures(df, id, text, halves), "signatures")
     named = F.min(F.coalesce("doc_id", F.lit(NO_ID) + F.shiftrightunsigned("fp1", 2)))
-    nodes = written(rows.where("n_shingles > 0").groupBy("fp1", "fp2").agg(named.alias("node"), F.first("halves").alias("halves"), F.first("n_shingles").alias("n_shingles")), "nodes")
-    groups = components(candidate_edges(nodes))
-    groups = groups.join(nodes.select("node", "n_shingles"), "node")
-    roots = components(verified(df, groups, id, text))
+    nodes = written(rows.where("n_shingles > 0").groupBy("fp1", "fp2").agg(named.alias("node"), F.min("th").alias("th"), F.first("halves").alias("halves"), F.first("n_shingles").alias("n_shingles")), "nodes")
+    groups = components(candidate_edges(nodes, halves))
+    groups = groups.join(nodes.select("node", "th", "n_shingles"), "node")
+    roots = components(verified(df, groups, id, text, percent))
     found = nodes.select("fp1", "fp2", "node").join(roots, "node", "left").select("fp1", "fp2", F.coalesce("root", "node").alias("root"))
     all_rows = rows.select("doc_id", "n_shingles", "fp1", "fp2").join(found, ["fp1", "fp2"], "left")
     component = F.coalesce(F.when(F.col("root") < NO_ID, F.col("root")), F.col("doc_id"))
