@@ -127,8 +127,9 @@ def train(documents: DataFrame, labels: DataFrame, learn=None, n: int = SAMPLE)
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     if learn is not None:
         marked = marked.where(learn)
-    some = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(n)
-    texts = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality")
+    some = marked.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    found = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    texts = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
