@@ -3,11 +3,11 @@
 Candidates are dealt into blocks by a hash of their id, queries into blocks likewise, and each pair of blocks meets in
 one task (an equi-join on the two block numbers; each side is sent once per block of the other, packed as bytes).
 A block keeps one list of its candidates per dimension, sorted by value. For a query the lists are read from the end that its
-sign makes best, in equal stretches: each round reads on in those lists whose next stretch lowers the bound most, looks up the
-candidates met for the first time and scores them whole. The bound is the sum of the values at which the lists stand; no candidate
+sign makes best, in stretches that grow by half each round: a round reads on in those lists whose next stretch lowers the bound most,
+looks up the candidates met for the first time and scores them whole. The bound is the sum of the values at which the lists stand; no candidate
 not yet met can exceed it. The search of a block stops as soon as the bound is below the kth score, of this block or of one that the
 same task has searched before for this query. A block's kth score only bounds what can be among the k best of all, so the union
-of the blocks' answers holds these, and a per-query rank takes them.
+of the blocks' answers holds these, and a per-query rank takes them. Where an eighth of a block or less is not yet met, it is scored without reading on.
 
 Components become floor(scale * x), held as doubles (exact: whatever is too large for a fraction is whole). Scores are exact: in
 floating point where dims * max|q| * max|x| allows it, otherwise in Python's integers; a score beyond 64 bits is given as the nearest
@@ -86,29 +86,30 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndar
         seen, scores = np.zeros(n, bool), np.full(n, -np.inf, kind)
         if len(dim):
             stands = w[:, None] * np.where(up[:, None], listed[np.ix_(dim, marks)], listed[np.ix_(dim, n - 1 - marks)])
-            gain = np.append(stands[:, :-1] - stands[:, 1:], np.full((len(dim), 1), -1, kind), 1)
             depth, every, at_once = np.zeros(len(dim), np.int64), np.arange(len(dim)), min(len(dim), max(4, len(dim) // 4))
+            last, step = len(marks) - 1, 1.0
         own = slice(*np.searchsorted(x_ids, q_ids[i], "left").reshape(1), np.searchsorted(x_ids, q_ids[i], "right"))
         n_seen = 0
         while n_seen < n:
-            if len(dim):
-                some = np.argsort(-gain[every, depth], kind="stable")[:at_once]
-                some = some[marks[depth[some]] < n - 1] if n > 1 else some
-                if not len(some):  # all lists are read
+            if len(dim) and 8 * n_seen <= 7 * n:
+                later = np.minimum(depth + int(step), last)
+                some = np.argsort(stands[every, later] - stands[every, depth], kind="stable")[:at_once]
+                some, step = some[depth[some] < last], step * 1.5
+                if not len(some):  # what these lists had is read
                     fresh = ~seen
                 else:
                     fresh = np.zeros(n, bool)
                     for d in some.tolist():
-                        low, high = depth[d] * stretch, min(n, (depth[d] + 1) * stretch)
+                        low, high = depth[d] * stretch, min(n, later[d] * stretch)
                         fresh[order[dim[d], low:high] if up[d] else order[dim[d], n - high : n - low]] = True
-                    depth[some] += 1
+                    depth[some] = later[some]
                     fresh &= ~seen
             else:
                 fresh = ~seen
             new = np.flatnonzero(fresh)
             seen |= fresh
             n_seen += len(new)
-            scores[new] = x[new] @ q[i]
+            scores[new] = x[new] @ q[i] if 4 * len(new) < n else (x @ q[i])[new]  # a product of all is cheaper than a copy of many
             scores[own] = -np.inf
             if n_seen > k and n_seen < n:
                 floor[i] = max(floor[i], kth(scores))
