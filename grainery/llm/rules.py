@@ -1,9 +1,14 @@
 """Quality rules by line sequence labelling: a linear-chain conditional random field marks each line of a document as
 content or boilerplate by Viterbi decoding, and the share of its characters on content lines decides retention.
 
-The field has one weight per bin of each line feature, a 2x2 transition table and start weights. It is fitted by
-gradient ascent on the conditional likelihood of a bounded sample of labelled documents (SAMPLE rows, whole texts),
-each line with a word taking its document's label. Counting and decoding cover all text of all documents.
+The field has one weight per bin of each line feature, a 2x2 transition table and start weights. Labels are known of documents
+only, so those of their lines are latent: a line is content if its bins are likelier among the lines of good documents than
+among those of bad ones, but a good document keeps at least KEEP_SHARE of its characters on content lines and a bad one less, by
+changing its least certain lines first. So a bad document may hold lines of content and a good one boilerplate, and the transitions
+are learned from changes within documents. The field is fitted to these labels by gradient ascent on their conditional
+likelihood. (Labelling anew by the fitted field, once or twice, let whole documents take one label and kept more bad ones on held-out labels.)
+It learns from a bounded sample: SAMPLE labelled ids, each with one text (the least, if an id is repeated), of which the middle
+SAMPLE_LINES lines are fitted if it has more. Counting and decoding cover all text of all documents.
 
 Null and empty texts have no words and fail the base rules. Repeated rows give repeated results. Columns of the input other
 than id and text are ignored. A map over partitions without a shuffle.
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Rolling, grams, inside, mix, passes, text_bytes, word_spans
 
-SAMPLE = 2000
+SAMPLE, SAMPLE_LINES = 2000, 400
 KEEP_SHARE = 0.5
 LEAST_WORDS = 50
 
@@ -142,6 +147,22 @@ class Field:
     def scores(self, bins: np.ndarray) -> np.ndarray:
         return self.emit[bins.astype(np.int64) + FIRST[:-1]].sum(1)
 
+    def sums(self, bins: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(score, forward and backward logarithms, log partition of the document) of each line; documents come longest first."""
+        score, total, steps = self.scores(bins), len(bins), int(length[0])
+        active = np.searchsorted(-length, -np.arange(steps), "left")
+        alpha, beta = np.zeros((total, 2)), np.zeros((total, 2))
+        alpha[first, 0], alpha[first, 1] = self.start[0], self.start[1] + score[first]
+        for t in range(1, steps):
+            here = first[: active[t]] + t
+            for y in (0, 1):
+                alpha[here, y] = np.logaddexp(alpha[here - 1, 0] + self.move[0, y], alpha[here - 1, 1] + self.move[1, y]) + (score[here] if y else 0)
+        for t in range(steps - 2, -1, -1):
+            here = first[: active[t + 1]] + t
+            for y in (0, 1):
+                beta[here, y] = np.logaddexp(self.move[y, 0] + beta[here + 1, 0], self.move[y, 1] + score[here + 1] + beta[here + 1, 1])
+        return score, alpha, beta, np.repeat(np.logaddexp(*(alpha[first + length - 1].T)), length)
+
     def viterbi(self, bins: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The best labels of the lines of documents whose lines begin at `at`, all documents a step at a time."""
         score = self.scores(bins)
@@ -176,8 +197,8 @@ class Field:
         return labels
 
 
-def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
-    """Weights of the field from documents (bins of their lines) whose lines all have the document's label."""
+def fit(sequences: list[np.ndarray], labels: list[np.ndarray], rounds: int = 150, rate: float = 0.1, decay: tuple[float, float] = (1e-5, 1e-2)) -> np.ndarray:
+    """Weights of the field from documents (bins of their lines) and the labels of their lines."""
     keep = [k for k, s in enumerate(sequences) if len(s)]
     keep.sort(key=lambda k: -len(sequences[k]))
     weights = np.zeros(N_WEIGHTS + 6)
@@ -185,28 +206,15 @@ def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, rate:
         return weights
     bins = np.concatenate([sequences[k] for k in keep])
     length = np.array([len(sequences[k]) for k in keep])
-    gold = np.array([labels[k] for k in keep])
+    gold_line = np.concatenate([labels[k] for k in keep]).astype(float)
     place = bins.astype(np.int64) + FIRST[:-1]
     first = np.cumsum(length) - length
-    gold_line = np.repeat(gold, length).astype(float)
-    steps = int(length[0])
-    active = np.searchsorted(-length, -np.arange(steps), "left")
-    n, total = len(keep), len(bins)
-    speed = np.zeros_like(weights)
-    for _ in range(rounds):
+    total = len(bins)
+    held = np.repeat(decay, (N_WEIGHTS, 6))  # where few lines differ from the one before, free transitions would drown the features
+    mean, square = np.zeros_like(weights), np.zeros_like(weights)
+    for step in range(1, rounds + 1):
         field = Field(weights)
-        score = field.scores(bins)
-        alpha, beta = np.zeros((total, 2)), np.zeros((total, 2))
-        alpha[first, 0], alpha[first, 1] = field.start[0], field.start[1] + score[first]
-        for t in range(1, steps):
-            here = first[: active[t]] + t
-            for y in (0, 1):
-                alpha[here, y] = np.logaddexp(alpha[here - 1, 0] + field.move[0, y], alpha[here - 1, 1] + field.move[1, y]) + (score[here] if y else 0)
-        for t in range(steps - 2, -1, -1):
-            here = first[: active[t + 1]] + t
-            for y in (0, 1):
-                beta[here, y] = np.logaddexp(field.move[y, 0] + beta[here + 1, 0], field.move[y, 1] + score[here + 1] + beta[here + 1, 1])
-        z = np.repeat(np.logaddexp(*(alpha[first + length - 1].T)), length)
+        score, alpha, beta, z = field.sums(bins, first, length)
         p = np.exp(alpha[:, 1] + beta[:, 1] - z)
         grad = np.zeros_like(weights)
         miss = gold_line - p
@@ -219,13 +227,45 @@ def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, rate:
             for b in (0, 1):
                 expected = np.exp(alpha[j - 1, a] + field.move[a, b] + (score[j] if b else 0) + beta[j, b] - z[j]).sum()
                 grad[N_WEIGHTS + 2 * a + b] = ((gold_line[j] == a) & (gold_line[j] == b)).sum() - expected
-        grad[N_WEIGHTS + 5] = (gold - p[first]).sum()
+        grad[N_WEIGHTS + 5] = (gold_line[first] - p[first]).sum()
         grad[N_WEIGHTS + 4] = -grad[N_WEIGHTS + 5]
-        speed = 0.9 * speed + rate * (grad / total - decay * weights)
-        weights = weights + speed
+        grad = grad / total - held * weights
+        mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
+        weights = weights + rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     return weights
 
 
+def line_labels(margin: np.ndarray, chars: np.ndarray, good: bool, keep_share: float = KEEP_SHARE) -> np.ndarray:
+    """Labels of a document's lines by the sign of their margins, the least certain changed until the document's label holds."""
+    out = margin > 0
+    need = keep_share * chars.sum()
+    wrong = (need - chars[out].sum()) if good else (chars[out].sum() - need)
+    if wrong > 0 or not good and wrong == 0:
+        at = np.flatnonzero(out != good)
+        at = at[np.argsort(np.abs(margin[at]), kind="stable")]
+        upto = np.cumsum(chars[at])
+        enough = np.searchsorted(upto, wrong, "left" if good else "right")
+        out[at[: enough + 1]] = good
+    return out
+
+
+def learn(sequences: list[np.ndarray], chars: list[np.ndarray], quality: list[int]) -> np.ndarray:
+    """Weights of the field from documents (bins and characters of their lines) of which only the documents' labels are known."""
+    keep = [k for k, s in enumerate(sequences) if len(s)]
+    if not keep:
+        return np.zeros(N_WEIGHTS + 6)
+    length = np.array([len(sequences[k]) for k in keep])
+    place = np.concatenate([sequences[k] for k in keep]).astype(np.int64) + FIRST[:-1]
+    of = np.repeat([quality[k] != 0 for k in keep], length)
+    odds = np.zeros(N_WEIGHTS)
+    for y, sign in ((True, 1), (False, -1)):
+        count = np.bincount(place[of == y].ravel(), minlength=N_WEIGHTS) + 1.0
+        for a, b in zip(FIRST[:-1], FIRST[1:], strict=True):
+            odds[a:b] += sign * np.log(count[a:b] / count[a:b].sum())
+    margins = np.split(odds[place].sum(1), np.cumsum(length)[:-1])
+    return fit([sequences[k] for k in keep], [line_labels(m, chars[k], quality[k] != 0) for m, k in zip(margins, keep, strict=True)])
+
+
 def _each_pass(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, Lines]]:
     data, offsets = text_bytes(batch.column(column))
     for i, j in passes(offsets):
@@ -233,10 +273,11 @@ def _each_pass(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, L
 
 
 def sample(documents: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
-    """At most n labelled documents, by a hash of their id: (text, quality)."""
+    """At most n labelled ids, by a hash of the id, each with one text and one label: (text, quality)."""
     marked = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull())
-    some = marked.orderBy(F.xxhash64("__id"), "__id", "quality").limit(n)
-    return documents.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(some), "__id").select("text", "quality")
+    some = marked.groupBy("__id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("__id"), "__id").limit(n)
+    found = documents.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(some), "__id")
+    return found.groupBy("__id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).select("text", "quality")
 
 
 def train(documents: DataFrame, labels: DataFrame, n: int = SAMPLE) -> np.ndarray:
@@ -246,11 +287,16 @@ def train(documents: DataFrame, labels: DataFrame, n: int = SAMPLE) -> np.ndarra
         for batch in batches:
             quality = batch.column(1)
             for i, j, lines in _each_pass(batch, "text"):
-                bins = [lines.bins[a:b].tobytes() for a, b in zip(lines.at[:-1], lines.at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bins, pa.binary()), quality.slice(i, j - i)], ["bins", "quality"])
-
-    rows = sorted((bytes(r[0]), r[1]) for r in sample(documents, labels, n).mapInArrow(run, "bins binary, quality int").collect())
-    return fit([np.frombuffer(b, np.uint8).reshape(-1, len(EDGES)) for b, _ in rows], [int(q != 0) for _, q in rows])
+                bins, chars = [], []
+                for a, b in zip(lines.at[:-1], lines.at[1:], strict=True):
+                    skip = max(0, b - a - SAMPLE_LINES)
+                    a, b = a + skip // 2, b - (skip - skip // 2)
+                    bins.append(lines.bins[a:b].tobytes())
+                    chars.append(lines.chars[a:b].astype("<i8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(bins, pa.binary()), pa.array(chars, pa.binary()), quality.slice(i, j - i)], ["bins", "chars", "quality"])
+
+    rows = sorted((bytes(r[0]), bytes(r[1]), r[2]) for r in sample(documents, labels, n).mapInArrow(run, "bins binary, chars binary, quality int").collect())
+    return learn([np.frombuffer(b, np.uint8).reshape(-1, len(EDGES)) for b, *_ in rows], [np.frombuffer(c, "<i8") for _, c, _ in rows], [int(q != 0) for *_, q in rows])
 
 
 SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, content_share double, kept boolean"
