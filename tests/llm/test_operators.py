@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -157,6 +158,39 @@ def test_topk_equals_all_products(spark):
     assert topk.search(df.where("false"), df, k=3).count() == 0 and topk.search(df.limit(1), df.limit(1), k=3).count() == 0
 
 
+def test_topk_of_large_components_and_repeated_queries(spark):
+    """Finite components of any size take part; equal query rows are one query, and different vectors under one id are two."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(80)]
+    rows[3] = (3, [4e7, -3.7, 2.0, 0.5])
+    rows[4] = (4, [4e7, -3.71, 2.0, 0.5])
+    rows[5] = (5, [3.5e7 + 0.25, 1.0, -2e7, 3.0])
+    df = spark.createDataFrame([*rows, rows[20], (40, rows[41][1])], "vec_id long, embedding array<double>").repartition(3)
+    queries = df.where("vec_id % 20 = 0 OR vec_id IN (3, 5)")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df, queries, k=6, block_rows=(16, 4)).collect())
+    whole = lambda v: [math.floor(64 * x) for x in v]
+    every = [(i, whole(v)) for i, v in [*rows, rows[20], (40, rows[41][1])]]
+    want = []
+    for q, v in {(q, tuple(v)) for q, v in every if q % 20 == 0 or q in (3, 5)}:
+        best = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), c) for c, x in every if c != q)[:6]
+        want += [(q, k + 1, c, max(-(2**63), min(2**63 - 1, -s))) for k, (s, c) in enumerate(best)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("dims,most", [(2, 0.3), (4, 0.75), (64, 1.0)])
+def test_topk_stops_early(dims, most):
+    """The share of candidates that are scored, which grows with the dimensions; the answers are those of a full search."""
+    rng = np.random.default_rng(6)
+    x = np.floor(64 * (v := rng.normal(0, 1, (4096, dims))) / np.linalg.norm(v, axis=1, keepdims=True))
+    ids = np.arange(len(x))
+    at, best, score, scored = topk.search_block(x[:40], ids[:40], x, ids, 20)
+    for i in range(40):
+        full = sorted((-int(s), c) for c, s in enumerate(x @ x[i]) if c != i)[:20]
+        assert [(-int(s), int(c)) for c, s in zip(best[at == i], score[at == i], strict=True)] == full
+    print(dims, scored.mean() / len(x))
+    assert scored.mean() <= most * len(x)
+
+
 def test_chat_round_trip(spark, texts):
     rows = [(c, t, RANDOM.choice(["user", "assistant", "system"]) if t else "user", RANDOM.choice(texts)) for c in range(25) for t in range(RANDOM.randint(1, 6))]
     rows += [(99, 0, None, "</s>[INST] <|im_start|>\\"), (99, 1, "a\n<|im_sep|>", "\\\\<<SYS>>"), (99, 1, "assistant", None), (None, None, "assistant", "x")]
@@ -193,12 +227,43 @@ def brute_repeats(bodies: list[bytes], n: int) -> list[tuple]:
 @pytest.mark.parametrize("limit", [4096, 2])
 def test_repeats_equal_brute_force(docs, texts, empty, limit, monkeypatch):
     monkeypatch.setattr(repeats, "LIMIT", limit)
+    monkeypatch.setattr(repeats, "HOT", limit // 2)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs).collect()}
     assert got == dict(enumerate(brute_repeats([data(t) for t in texts], 400)))
     if limit > 2:
         assert repeats.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [4096, 2])
+@pytest.mark.parametrize("passage,length", [(240, 400), (30, 41), (7, 60)])
+def test_repeats_of_two_lengths(docs, texts, limit, passage, length, monkeypatch):
+    monkeypatch.setattr(repeats, "LIMIT", limit)
+    got = {r.doc_id: ((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256), r.n_passage_bytes) for r in repeats.remove_repeats(docs, length=length, passage=passage).collect()}
+    bodies = [data(t) for t in texts]
+    for i, (long, short) in enumerate(zip(brute_repeats(bodies, length), brute_repeats(bodies, passage), strict=True)):
+        assert got[i] == (long, short[1])
+
+
+def test_repeats_in_segments(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PASS_BYTES", 1000)
+    a, b = prose(400), prose(300)
+    some = [a + b + prose(900), prose(200) + b[5:] + prose(500) + a[: len(a) // 2], prose(60), a[100:]]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = {r.doc_id: ((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256), r.n_passage_bytes) for r in repeats.remove_repeats(df, passage=90).collect()}
+    bodies = [data(t) for t in some]
+    assert got == dict(enumerate(zip(brute_repeats(bodies, 400), [x[1] for x in brute_repeats(bodies, 90)], strict=True)))
+
+
+def test_refinement_follows_pointers():
+    assert repeats.ladder((400,)) == [25, 50, 100, 200, 400] and repeats.ladder((240, 400)) == [30, 60, 120, 240, 400] and repeats.ladder((7, 60)) == [7, 14, 28, 56, 60]
+    body = bytes(RANDOM.choices(b"ab", k=3000))
+    rows = [(0, k, 0, 0, 1000 - 24, 1, body[1000 * k : 1000 * k + 1000]) for k in range(3)]
+    got = {(int(d), s, int(n)) for d, _, a, z, n in zip(*repeats._refine(rows, (12, 24)), strict=True) for s in range(a, z + 1)}
+    for n in (12, 24):
+        count = Counter(r[6][s : s + n] for r in rows for s in range(977))
+        assert {(d, s) for d, s, m in got if m == n} == {(r[1], s) for r in rows for s in range(977) if count[r[6][s : s + n]] > 1}
+
+
 def test_repeats_of_null_ids_and_repeated_rows(spark, texts):
     df = spark.createDataFrame([(None, texts[6]), (None, texts[6]), (1, prose(200)), (1, prose(200))], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.n_removed == r.n_bytes) for r in repeats.remove_repeats(df).collect())
@@ -223,6 +288,20 @@ def test_neardup_equals_brute_force(docs, texts, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_neardup_at_another_threshold_and_without_ids(spark):
+    assert (neardup.halves_at(85), neardup.halves_at(80)) == (10, 13)
+    w = prose(204).split()
+    near = " ".join(w[:100] + ["new", "words", "here"] + w[103:])
+    far = " ".join(w[:40] + ["new", "words", "here"] * 7 + w[61:])
+    shingles = [{tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (" ".join(w), near, far)]
+    share = [len(shingles[0] & x) / len(shingles[0] | x) for x in shingles[1:]]
+    assert share[0] >= 0.85 > 0.80 <= share[1] < 0.85
+    df = spark.createDataFrame([(1, " ".join(w)), (None, near), (None, near), (3, far), (None, prose(30))], "doc_id long, text string")
+    for percent, reached in ((85, 3), (80, 1)):
+        got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_duplicates(df, percent=percent).collect())
+        assert got == [(0, 0, True), (0, 1, False), (0, 1, False), (1, 1, True), (3, reached, reached == 3)]
+
+
 def test_neardup_blocks_and_null_ids(docs, texts, spark, monkeypatch):
     whole = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
     monkeypatch.setattr(neardup, "BLOCK", 2)
@@ -277,6 +356,27 @@ def test_trained_models(spark):
     assert quality.classify(documents, quality.train(documents, none)).count() == len(rows) + 2 and rules.train(documents, none).any() == False  # noqa: E712
 
 
+def test_rules_label_lines_of_mixed_documents(spark):
+    """Documents of good and junk lines: the share of content is that of the planted lines, though only documents have labels."""
+    good = lambda: " ".join(prose(7).capitalize() + "." for _ in range(6))
+    junk = lambda: " ".join(w + "%%%" for w in prose(30).split())
+    rows, planted = [], {}
+    for i in range(160):
+        kinds = [1] * 8 if i % 4 == 0 else [0] * 8 if i % 4 == 1 else [1] * 6 + [0] * 2 if i % 4 == 2 else [1] + [0] * 7
+        lines = [good() if k else junk() for k in kinds]
+        rows.append((i, "\n".join(lines), int(sum(kinds) >= 4)))
+        planted[i] = (kinds, sum(len(x) for x, k in zip(lines, kinds, strict=True) if k) / sum(map(len, lines)))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] >= 60], "doc_id long, quality int")
+    got = {r.doc_id: r for r in rules.judge(df, rules.train(df.unionByName(df), labels.unionByName(labels)), line_labels=True).collect()}
+    right = sum(a == b for i, (kinds, _) in planted.items() for a, b in zip(got[i].line_labels, kinds, strict=True)) / sum(len(k) for k, _ in planted.values())
+    assert right > 0.97 and all(got[r[0]].kept == bool(r[2]) for r in rows)
+    mixed = [i for i in planted if i % 4 > 1]
+    assert sum(0 < got[i].content_share < 1 and abs(got[i].content_share - planted[i][1]) < 0.05 for i in mixed) > 0.9 * len(mixed)
+    assert rules.sample(df.unionByName(df), labels.unionByName(labels), 20).count() == 20
+    assert rules.line_labels(np.array([2.0, 1.0]), np.array([5, 6]), False).tolist() == [True, False] and rules.line_labels(np.array([-2.0, -1.0]), np.array([5, 5]), True).tolist() == [False, True]
+
+
 def test_language_models(spark):
     alphabets = {"aa": ["ka", "lo", "mi", "ter"], "bb": ["sch", "ein", "ung", "aus"]}
     rows = [(i, " ".join("".join(RANDOM.choices(alphabets[lang], k=3)) for _ in range(60)), lang) for i, lang in enumerate(["aa", "bb"] * 40)]
@@ -303,6 +403,51 @@ def test_language_models(spark):
     assert np.all((total > 0.97) & (total < 1.001))
 
 
+def brute_kneser_ney(training: dict, text: str, d: float = langid.DISCOUNT) -> dict:
+    """Loss per character in every language, by dictionaries and recursion over strings."""
+    fold = lambda t: " " + "".join(ch.lower() if ch.isalpha() else " " for ch in t)
+    squeeze = lambda t: re.sub(" +", " ", fold(t))
+    alphabet = {ch for some in training.values() for t in some for ch in squeeze(t)}
+    out = {}
+    for lang, some in training.items():
+        grams = [Counter(s[i : i + n] for s in map(squeeze, some) for i in range(len(s) - n + 1)) for n in range(1, 5)]
+        counts = [Counter(g[1:] for g in grams[n + 1]) if n < 3 else grams[3] for n in range(4)]
+        total, kinds = [Counter() for _ in range(4)], [Counter() for _ in range(4)]
+        for n in range(4):
+            for g, c in counts[n].items():
+                total[n][g[:-1]] += c
+                kinds[n][g[:-1]] += 1
+
+        def p(g):
+            n = len(g) - 1
+            low = p(g[1:]) if n else 1 / (2 + len(alphabet))
+            if not total[n][g[:-1]]:
+                return low
+            return max(0, counts[n][g] - d) / total[n][g[:-1]] + d * kinds[n][g[:-1]] / total[n][g[:-1]] * low
+
+        s = squeeze(text)
+        out[lang] = -sum(math.log(p(s[max(0, i - 3) : i + 1])) for i in range(1, len(s))) / max(1, len(s) - 1)
+    return out
+
+
+def test_language_losses_equal_brute_force(spark):
+    rows = [(i, " ".join("".join(RANDOM.choices(a, k=3)) for _ in range(12)) + RANDOM.choice([".", " 7", "É!"]), lang) for i in range(30) for lang, a in (("aa", ["ka", "lo", "mi"]), ("bb", ["sch", "ein", "ka"]))]
+    rows = [(k, t, lang) for k, (_, t, lang) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df.unionByName(df))
+    picked = langid.sample(df.unionByName(df)).collect()
+    assert len(picked) == 60 and langid.sample(df, n=7).count() == 14
+    training = {lang: [r.text for r in picked if r.lang == lang and r.k % 5] for lang in ("aa", "bb")}
+    for text in [rows[0][1], rows[1][1], "Mika LO ein", "x"]:
+        losses, _ = model.losses(*text_bytes(__import__("pyarrow").array([text])))
+        want = brute_kneser_ney(training, text)
+        if set(text.lower()) <= set("".join(t.lower() for t in training["aa"] + training["bb"])):
+            assert np.allclose(losses[0], [want["aa"], want["bb"]], atol=1e-3)
+            assert losses[0].argmin() == int(want["bb"] < want["aa"])
+        else:  # a symbol that no language knows costs the same in each
+            assert losses[0, 0] == losses[0, 1]
+
+
 def test_cross_entropy_difference(docs, texts, spark, empty):
     target = [prose(30) for _ in range(5)] + [None]
     tdf = spark.createDataFrame([(t,) for t in target], "text string")
