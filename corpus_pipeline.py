@@ -15,6 +15,10 @@ from grainery.llm import neardup, packing, quality, repeats, rules
 from grainery.llm.common import crc_mod, table, written
 
 ORACLE_SQL = None
+#: Least similarity of near duplicates, in hundredths.
+SIMILARITY = 80
+#: Bytes of the strings that suffix_dedup cuts: passages of 50 words have 248 at the least in the given tables.
+PASSAGE = 240
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -40,15 +44,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are numbered, so that null or repeated ids link nothing. Texts without words are in no group and all stay.
     """
     rows = written(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "numbered")
-    found = neardup.near_duplicates(rows.select("number", "row.text"), id="number").select(F.col("doc_id").alias("number"), "component_id")
+    found = neardup.near_duplicates(rows.select("number", "row.text"), id="number", percent=SIMILARITY).select(F.col("doc_id").alias("number"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number"))
     kept = found.join(rows.select("number", "row.doc_id"), "number").groupBy("component_id").agg(first.alias("first")).select("first.number")
     return rows.join(kept.hint("shuffle_hash"), "number", "left_semi").select("row.*")  # they grow with the input, so they are never broadcast
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts long repeats out of every text; n_chars follows the text."""
-    whole = repeats.remove_repeats(_whole(docs), carry=("row",), emit_text=True)
+    """Cuts repeated passages, strings of PASSAGE bytes, out of every text; n_chars follows the text."""
+    whole = repeats.remove_repeats(_whole(docs), carry=("row",), emit_text=True, length=PASSAGE)
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return whole.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
