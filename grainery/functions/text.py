@@ -211,3 +211,63 @@ def is_indexed_path(path: Column) -> Column:
 
 def role(incoming: Column, outgoing: Column) -> Column:
     return F.when((incoming >= 3) & (outgoing <= 1), "entry").when((incoming >= 2) & (outgoing >= 2), "core").when((incoming <= 1) & (outgoing >= 2), "utility").when(outgoing == 0, "leaf").otherwise("internal")
+
+
+# Names of syntax nodes and of kinds.
+KINDS = {
+    "function_item": "function",
+    "function_definition": "function",
+    "function_declaration": "function",
+    "method_declaration": "method",
+    "method_definition": "method",
+    "struct_item": "struct",
+    "trait_item": "trait",
+    "enum_item": "enum",
+    "class_declaration": "class",
+    "class_definition": "class",
+    "impl_item": "impl",
+    "interface_declaration": "interface",
+    "type_declaration": "type",
+}
+SHORT_KINDS = {"function": "fn", "module": "mod"}
+
+
+def renamed_by(names: dict[str, str], value: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), value), value)
+
+
+def normal_kind(node: Column) -> Column:
+    """The kind of a syntax node; unknown nodes stay as they are."""
+    return renamed_by(KINDS, node)
+
+
+def short_kind(kind: Column) -> Column:
+    return renamed_by(SHORT_KINDS, kind)
+
+
+def anchors(query: Column) -> Column:
+    """Words that name something: a path, a file, an identifier, or mixed case. With three or more a query is not expanded."""
+    words = F.filter(F.split(query, r"\s+"), lambda w: w.rlike("[/._]") | (w.rlike(r"\p{Lu}") & w.rlike(r"\p{Ll}")))
+    return F.coalesce(F.size(words), F.lit(0))
+
+
+def eval_language(path: Column) -> Column:
+    """The folder after `cases` in the path of an evaluation set."""
+    found = F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), "/cases/([^/]+)/", 1)
+    return F.when(found == "", "unknown").otherwise(found)
+
+
+def profile_name(path: Column) -> Column:
+    """A file's name without its last extension."""
+    return F.regexp_replace(F.regexp_extract(path, "([^/]*)/*$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def rfc3339(seconds: Column) -> Column:
+    """Seconds since 1970 as a UTC date."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_seconds(seconds).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def line_range(text: Column, begin: Column, end: Column) -> Column:
+    """(first, last): the lines, from 1, of the characters of a text from begin (from 0) to before end."""
+    breaks = lambda upto: F.length(F.substring(text, F.lit(1), upto)) - F.length(F.replace(F.substring(text, F.lit(1), upto), F.lit("\n")))
+    return F.struct((1 + breaks(begin)).alias("first"), (1 + breaks(F.greatest(begin, end - 1))).alias("last"))

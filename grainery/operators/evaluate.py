@@ -46,3 +46,14 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     d, e = F.col("rr_b") - F.col("rr_a"), F.col("recall_b") - F.col("recall_a")
     kind = F.when(F.col("rr_a").isNull(), "added").when(F.col("rr_b").isNull(), "removed").when(d > 1e-9, "improved").when(d < -1e-9, "regressed").when(e > 1e-9, "improved").when(e < -1e-9, "regressed").otherwise("unchanged")
     return a.join(b, "qid", "full").select("qid", kind.alias("verdict"), F.round(d, 6).alias("rr_delta"))
+
+
+def strict_accuracy(results: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """(qid, accurate): 1 if all gold items (qid, item) are among a query's first k results (qid, item, rank), else 0. Queries without gold are left out."""
+    missed = gold.distinct().join(results.where(F.col("rank") <= k), ["qid", "item"], "left_anti").select("qid").distinct().withColumn("missed", F.lit(1))
+    return gold.select("qid").distinct().join(missed, "qid", "left").select("qid", F.when(F.col("missed").isNull(), 1.0).otherwise(0.0).alias("accurate"))
+
+
+def sweep_summary(runs: DataFrame, tag: str, recall: str, *others: str) -> DataFrame:
+    """Means per tag over the runs that found something (recall above 0)."""
+    return runs.where(F.col(recall) > 0).groupBy(tag).agg(F.count("*").alias("runs"), *[F.avg(c).alias(c) for c in (recall, *others)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Word lists and path patterns that decide which commits count.
@@ -77,3 +77,38 @@ def cases(commits: DataFrame, touched: DataFrame) -> DataFrame:
 def line_set(regions: DataFrame) -> DataFrame:
     """(by, file, line) of regions (by, file, first, last), to be compared as sets."""
     return regions.select("by", "file", F.explode(F.sequence("first", "last")).alias("line")).distinct()
+
+
+def numstat(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The columns of lines and (added, deleted, path) of `added TAB deleted TAB path` lines; binary files (`-`) and other lines are left out."""
+    parts = F.split(F.trim(F.col(line)), "\t", 3)
+    rows = lines.withColumn("parts", parts).where(F.size("parts") == 3)
+    rows = rows.withColumn("added", F.col("parts")[0].try_cast("long")).withColumn("deleted", F.col("parts")[1].try_cast("long")).where("added IS NOT NULL AND deleted IS NOT NULL")
+    return rows.withColumn("path", renamed(F.col("parts")[2])).drop("parts")
+
+
+def prioritised(some: DataFrame, most: int, id: str = "id", by: str = "complexity", order: str = "seq") -> DataFrame:
+    """The first `most` cases, each id once (its first row by priority): of medium complexity, then low, then high, then in their order. `place` counts from 1."""
+    priority = F.when(F.col(by) == "medium", 0).when(F.col(by) == "low", 1).otherwise(2)
+    rows = some.withColumn("at", F.struct(priority.alias("priority"), F.col(order).alias("seq")))
+    first = rows.groupBy(id).agg(F.min_by(F.struct(*[F.col(c) for c in some.columns]), "at").alias("row"), F.min("at").alias("at"))
+    few = first.orderBy("at", id).limit(most)  # a limit over an order: every task sends `most` rows at most
+    return few.select("row.*", F.row_number().over(Window.orderBy("at", id)).alias("place"))
+
+
+def gold_regions(rows: DataFrame, column: str, *keep: str) -> DataFrame:
+    """(keep..., file, first, last) of a JSON list of {file, start_line, end_line}, given as a string; entries without lines and the workspace prefix go."""
+    kind = "array<struct<file: string, start_line: bigint, end_line: bigint>>"
+    entry = rows.select(*keep, F.explode(F.from_json(column, kind)).alias("e")).where("e.start_line IS NOT NULL")
+    file = F.coalesce("e.file", F.lit(""))
+    bare = F.when(file.contains("/workspace/") & (F.size(F.split(file, "/", 4)) == 4), F.split(file, "/", 4)[3]).otherwise(file)
+    return entry.select(*keep, bare.alias("file"), F.col("e.start_line").alias("first"), F.col("e.end_line").alias("last"))
+
+
+def region_overlap(results: DataFrame, regions: DataFrame) -> DataFrame:
+    """(qid, overlap): the share of a query's regions (qid, file, first, last) that a result (qid, file, first, last) of the same file overlaps."""
+    numbered = regions.select("qid", "file", "first", "last").distinct()
+    chunks = results.select(F.col("qid").alias("q"), F.col("file").alias("f"), F.col("first").alias("a"), F.col("last").alias("z")).distinct()
+    hit = numbered.join(chunks, (F.col("qid") == F.col("q")) & (F.col("file") == F.col("f")) & (F.col("a") <= F.col("last")) & (F.col("z") >= F.col("first")), "left_semi")
+    n, k = numbered.groupBy("qid").agg(F.count("*").alias("n")), hit.groupBy("qid").agg(F.count("*").alias("k"))
+    return n.join(k, "qid", "left").select("qid", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("overlap"))

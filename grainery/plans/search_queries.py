@@ -90,10 +90,10 @@ def camel_split(spark, d):
 
 
 def _said(spark, d):
-    return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.substring_index("text", ".", 1).alias("query"))
+    return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
 
 
-SAID_SQL = "said AS (SELECT conv_id, turn, string_split(text, '.')[1] AS query FROM conversations WHERE role = 'user')"
+SAID_SQL = "said AS (SELECT conv_id, turn, text AS query FROM conversations WHERE role = 'user')"
 WORDS_SQL = r"list_filter(string_split_regex(query, '\s+'), lambda w: w <> '')"
 
 

@@ -301,11 +301,11 @@ def session_events(spark, d):
 
 
 def session_seen(spark, d):
-    """Turns of a conversation whose opening words an earlier turn had go last; others keep their order."""
+    """Turns of a conversation that say what an earlier turn said go last; others keep their order."""
     from pyspark.sql import Window
 
-    turns = read(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 2).alias("start"))
-    seen = F.row_number().over(Window.partitionBy("conv_id", "start").orderBy("turn")) > 1
+    turns = read(spark, d, "conversations").select("conv_id", "turn", "text")
+    seen = F.row_number().over(Window.partitionBy("conv_id", "text").orderBy("turn")) > 1
     flagged = turns.withColumn("seen", seen)
     return flagged.select("conv_id", "turn", "seen", F.row_number().over(Window.partitionBy("conv_id").orderBy("seen", "turn")).cast("long").alias("place"))
 
@@ -354,5 +354,5 @@ SQL = {
     "repo_map": f"WITH {EDGES}, i AS (SELECT dst AS node, count(*) AS c FROM edges GROUP BY 1), o AS (SELECT src AS node, count(*) AS c FROM edges GROUP BY 1), b AS (SELECT node, coalesce(i.c, 0) AS incoming, coalesce(o.c, 0) AS outgoing FROM i FULL JOIN o USING (node)), r AS (SELECT node, {ROLE} AS role FROM b), s AS (SELECT s_nationkey, list(s_name ORDER BY s_suppkey) AS l FROM supplier GROUP BY 1) SELECT n_name AS path, coalesce(role, 'internal') AS role, coalesce(array_to_string(l[1:15], ','), '') AS symbols, coalesce(len(l) > 15, false) AS truncated FROM nation LEFT JOIN r ON node = 'n' || n_nationkey LEFT JOIN s ON s_nationkey = n_nationkey",
     "tumbling_events": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "session_events": "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM b GROUP BY user_id, s",
-    "session_seen": "WITH s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, text[1:2] ORDER BY turn) > 1 AS seen FROM conversations) SELECT conv_id, turn, seen, row_number() OVER (PARTITION BY conv_id ORDER BY seen, turn) AS place FROM s",
+    "session_seen": "WITH s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) > 1 AS seen FROM conversations) SELECT conv_id, turn, seen, row_number() OVER (PARTITION BY conv_id ORDER BY seen, turn) AS place FROM s",
 }

@@ -10,26 +10,53 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainery.functions.text import is_indexed_path, language
+from grainery.sources.ignore import Rule, ignored, rules
 
 
 LISTED = "path string, mtime timestamp, size bigint"
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, mtime, size) of all files below a folder that every executor sees, apart from names that begin with a point.
+#: Files of ignore rules, later ones first to decide.
+IGNORE_FILES = (".gitignore", ".ignore")
+
+
+def _own_rules(root: str, folder: str) -> list[Rule]:
+    found = []
+    for name in IGNORE_FILES:
+        path = os.path.join(root, folder, name)
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                found += rules(f.read(), folder)
+    return found
+
+
+def listing(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(path, mtime, size) of all files below a folder that every executor sees, apart from names that begin with a point and what the
+    ignore files of a folder or its parents leave out. exclude: patterns of the same kind, which nothing takes back in.
 
     The driver lists the first level only; each folder of it is walked by a task.
     """
-    tops = sorted(e.name for e in os.scandir(root) if e.is_dir(follow_symlinks=False) and not e.name.startswith("."))
+    top_rules, barred = _own_rules(root, ""), rules(exclude)
+
+    def out(path: str, folder: bool, some: list[Rule]) -> bool:
+        return path.rsplit("/", 1)[-1].startswith(".") or ignored(path, folder, some) or ignored(path, folder, barred)
+
+    tops = sorted(e.name for e in os.scandir(root) if e.is_dir(follow_symlinks=False) and not out(e.name, True, top_rules))
     seeds = spark.createDataFrame([("",), *[(t,) for t in tops]], "top string").repartition(max(1, min(len(tops) + 1, 4 * spark.sparkContext.defaultParallelism)))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for top in batch.column("top").to_pylist():
+                held = {"": top_rules}
                 for folder, folders, names in os.walk(os.path.join(root, top)):
-                    folders[:] = sorted(f for f in folders if not f.startswith(".")) if top else []
-                    paths = [os.path.join(folder, n) for n in sorted(names) if not n.startswith(".")]
-                    rows = [(os.path.relpath(p, root), os.stat(p)) for p in paths if os.path.isfile(p)]
+                    at = os.path.relpath(folder, root)
+                    at = "" if at == "." else at
+                    some = held.get(at) or (held.get(os.path.dirname(at), top_rules) + _own_rules(root, at))
+                    held[at] = some
+                    full = lambda n, at=at: f"{at}/{n}" if at else n
+                    folders[:] = sorted(f for f in folders if not out(full(f), True, some)) if top else []
+                    paths = [full(n) for n in sorted(names) if not out(full(n), False, some)]
+                    rows = [(p, os.stat(os.path.join(root, p))) for p in paths if os.path.isfile(os.path.join(root, p))]
                     columns = [[r for r, _ in rows], [s.st_mtime_ns // 1000 for _, s in rows], [s.st_size for _, s in rows]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.timestamp("us", "UTC"), pa.int64()), strict=True)], ["path", "mtime", "size"])
 
