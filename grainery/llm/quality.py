@@ -27,7 +27,7 @@ ROWS = 512
 
 def _classes() -> np.ndarray:
     b = np.arange(256)
-    out = np.full(256, 9)
+    out = np.full(256, 9, np.int32)
     for k, members in enumerate((b" ", b"\n\r\t\v\f", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",", b"!?", b"#*$%&|<>")):
         out[np.frombuffer(members, np.uint8)] = k
     out[b >= 128] = 10
@@ -45,7 +45,7 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Counts of the terms of each document: (documents, TERMS)."""
     n = len(offsets) - 1
     code = CLASS[data]
-    owner = np.repeat(np.arange(n), np.diff(offsets))
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     tri = (code[:-2] * N + code[1:-1]) * N + code[2:] if len(code) > 2 else np.zeros(0, np.int64)
     within = owner[2:] == owner[:-2]
     out = np.zeros((n, TERMS), np.float32)
