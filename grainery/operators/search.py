@@ -39,21 +39,41 @@ def text_stats(corpus: DataFrame, text: str) -> DataFrame:
     return corpus.select(F.count("*").alias("n"), F.avg(F.size(code_tokens(F.col(text)))).alias("avgdl"))
 
 
+#: Asked terms that are sent along with the plan at most; beyond it postings of all terms are formed and joined with the asked ones.
+ASKED_TERMS = 20_000
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(qid, key, score, rank) of the k best texts of each query (qid, query) by the sum over its distinct terms."""
-    return bm25_stored(postings(corpus, key, text), text_stats(corpus, text), queries, k)
+    """(qid, key, score, rank) of the k best texts of each query (qid, query) by the sum over its distinct terms.
+
+    Texts are split once: of each only its length and the asked ones of its terms go on, and statistics and postings come from these rows.
+    """
+    asked = queries.select(F.explode(F.array_distinct(code_tokens(F.col("query")))).alias("term")).distinct().limit(ASKED_TERMS + 1).toArrow().column(0).to_pylist()
+    if len(asked) > ASKED_TERMS:
+        return bm25_stored(postings(corpus, key, text), text_stats(corpus, text), queries, k)
+    split = corpus.select(F.col(key).alias("key"), code_tokens(F.col(text)).alias("tokens"))
+    listed = ", ".join(f"'{t}'" for t in asked) or "NULL"  # terms are letters and digits; as one text they cost no call each
+    few = split.select("key", F.size("tokens").alias("dl"), F.expr(f"filter(tokens, t -> t IN ({listed}))").alias("tokens"))
+    few = few.repartition("key")  # both uses below read this one exchange
+    stats = few.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    posted = few.select("key", "dl", F.explode("tokens").alias("term")).groupBy("term", "key", "dl").agg(F.count("*").alias("tf"))
+    return _weighed(posted, stats, queries, k)
 
 
 def bm25_stored(posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The same over stored postings: only those of the asked terms are counted and weighed."""
     asked = queries.select("qid", F.explode(F.array_distinct(code_tokens(F.col("query")))).alias("term"))
-    n, avgdl = stats.select("n", "avgdl").first()
-    avgdl = avgdl or 1.0
     posted = posted.join(asked.select("term").distinct(), "term", "left_semi")
+    return _weighed(posted, stats.select("n", "avgdl"), queries, k)
+
+
+def _weighed(posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best by postings of the asked terms (term, key, tf, dl) and statistics (n, avgdl) of one row."""
+    asked = queries.select("qid", F.explode(F.array_distinct(code_tokens(F.col("query")))).alias("term"))
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    weighted = asked.join(df, "term").select("qid", "term", "df").join(posted, "term")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.coalesce(F.nullif("avgdl", F.lit(0.0)), F.lit(1.0))))
+    weighted = asked.join(df, "term").select("qid", "term", "df").join(posted, "term").crossJoin(F.broadcast(stats))  # one row
     return top(weighted.groupBy("qid", "key").agg(F.sum(part).alias("score")), k)
 
 
