@@ -556,3 +556,25 @@ def test_pipeline_near_dedup_decides_per_text(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted([(None, a), (7, b), (7, c)], key=str)
+
+
+def test_pipeline_suffix_dedup_cuts_planted_passages(spark, tmp_path):
+    """Passages of 51 to 100 words in otherwise different documents go; other text stays, as a brute-force version says."""
+    passages = [prose(RANDOM.randint(51, 100)) for _ in range(12)]
+    rows, planted = [], {}
+    for i in range(60):
+        parts = [prose(RANDOM.randint(20, 200)), prose(RANDOM.randint(20, 200))]
+        if i < 36:
+            planted[i] = passages[i % 12]
+            parts.insert(1, passages[i % 12])
+        rows.append((i, "\n".join(parts), "en", "s", 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.suffix_dedup(spark, df, str(tmp_path)).collect()}
+    caught = sum(p not in got[i].text and len(got[i].text) < len(rows[i][1]) - 200 for i, p in planted.items()) / len(planted)
+    clean = [i for i in range(60) if i not in planted]
+    left = sum(got[i].text == rows[i][1] for i in clean) / len(clean)
+    print("caught", caught, "clean documents left alone", left)
+    assert caught == 1 and left == 1
+    for i, want in enumerate(brute_repeats([data(r[1]) for r in rows], corpus_pipeline.PASSAGE)):
+        body = rows[i][1].encode()
+        assert got[i].n_chars == len(got[i].text) and (want[3] == hashlib.sha256(got[i].text.encode()).hexdigest() or len(body) - want[1] - len(got[i].text.encode()) <= 2)
