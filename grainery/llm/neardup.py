@@ -6,10 +6,14 @@ on each side make h^2 tables from only 2 * h * WIDTH minhashes. Half keys that n
 At the similarity s of the threshold a pair of texts shares a table with probability (1 - (1 - s^WIDTH)^h)^2, and more above;
 h is the least number that lifts it over RECALL (10 at 0.85, 13 at 0.80).
 
-Each table entry is linked to the least node of its table; the components of these tentative links are candidate groups. Groups
-are cut into blocks of bounded size, every pair of blocks of a group meets in one task, and there all links between their
-whole shingle sets are decided exactly (an inverted index counts intersections); a task returns a spanning forest of the links
-it found. Components of these are the result. No table or group is capped, sampled or expanded into pairs of rows.
+Each table entry is linked to the least node of its table; the components of these tentative links are candidate groups. All
+links within a group of one block are decided exactly by whole shingle sets in one task (an inverted index counts
+intersections), which returns a spanning forest of them. A larger group is cut into blocks and meets pivots, some of its open nodes,
+in rounds: every block meets every pivot, after which the pivots are closed, and so are all nodes of the largest component
+found so far, as links within a component change nothing. A link between two components thus has an open end until a
+pivot has found it, and rounds (with PIVOTS nodes, then GROWTH times as many each) end when no node is open. A group of copies
+costs some rounds over its nodes, not its square. Components of the links are the result. No table or group is capped, sampled
+or expanded into pairs of rows.
 
 Null or empty texts have empty sets and are linked with nothing. Rows with equal texts are linked. Rows that share an id
 are one vertex. Rows with a null id are linked like others but never name a component: theirs is the least id that they
@@ -33,6 +37,10 @@ SHINGLE, PERCENT = 5, 85
 WIDTH, RECALL = 3, 0.9997
 #: Nodes and shingles of a block at most about.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Open nodes of a large group that meet all of it in the first round (about, and of BLOCK_SHINGLES at most about), and by how much later rounds have more.
+PIVOTS, GROWTH = 128, 4
+#: Parts of a large group in joins by group.
+SALTS = 64
 
 _FLIP, _TIMES = byte_values(101), byte_values(103)
 #: Nodes of rows that have no id are numbered from here by their prints.
@@ -163,13 +171,15 @@ def links(sets: list[np.ndarray], side: np.ndarray, node: np.ndarray, percent: i
     return found
 
 
-def verified(documents: DataFrame, groups: DataFrame, id: str, text: str, percent: int) -> DataFrame:
-    """(u, v): links that hold between the whole sets of nodes of the same group. groups: (node, th, root, n_shingles)."""
-    sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "root").select("node", "th", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+LINK = "u bigint, v bigint"
+
+
+def _packed(documents: DataFrame, placed: DataFrame, id: str, text: str) -> DataFrame:
+    """(node, root, blocks, own, n_shingles, set): placed nodes with their whole shingle sets."""
     every = documents.select(F.col(f"`{id}`").cast("long").alias("node"), F.col(f"`{text}`").alias("text"))
     nameless = every.where("node IS NULL").groupBy(F.xxhash64("text").alias("th")).agg(F.first("text").alias("text"))
     texts = every.join(placed.where(F.col("node") < NO_ID).drop("th"), "node").unionByName(nameless.join(placed.where(F.col("node") >= NO_ID), "th").drop("th"))
+    kept = ("node", "root", "blocks", "own", "n_shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,27 +187,29 @@ def verified(documents: DataFrame, groups: DataFrame, id: str, text: str, percen
             for i, j in passes(offsets):
                 sets, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 packed = [sets[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("node", "root", "blocks", "own")), pa.array(packed, pa.binary())], ["node", "root", "blocks", "own", "set"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in kept), pa.array(packed, pa.binary())], [*kept, "set"])
+
+    return texts.select("text", *kept).mapInArrow(run, "node bigint, root bigint, blocks int, own int, n_shingles bigint, set binary")
+
 
-    packed = texts.select("text", "node", "root", "blocks", "own").mapInArrow(run, "node bigint, root bigint, blocks int, own int, set binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    meet = packed.withColumn("other", other).select("node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set")
+def _decided(meet: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links among the nodes of a meeting (root, i, j), or between its two sides where both have nodes."""
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, sets, own, node = None, [], [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sets, side, node = None, [], [], []
         out: list[tuple[int, int]] = []
 
         def close() -> None:
             if len(sets) > 1:
-                out.extend(links(sets, np.array(own) != group[1] if group[1] != group[2] else np.zeros(len(sets), bool), np.array(node), percent))
+                out.extend(links(sets, np.array(side), np.array(node), percent))
 
         for batch in batches:
-            for r, i, j, o, n, s in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "own", "node", "set")), strict=True):
+            for r, i, j, a, n, s in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "side", "node", "set")), strict=True):
                 if (r, i, j) != group:
                     close()
-                    group, sets, own, node = (r, i, j), [], [], []
+                    group, sets, side, node = (r, i, j), [], [], []
                 sets.append(np.frombuffer(s, U64))
-                own.append(o)
+                side.append(a)
                 node.append(n)
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
@@ -205,7 +217,52 @@ def verified(documents: DataFrame, groups: DataFrame, id: str, text: str, percen
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
 
-    return meet.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(decide, "u bigint, v bigint")
+    rows = meet.select("root", "i", "j", "side", "node", "set")
+    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, LINK)
+
+
+def _by_pivots(sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links that give large groups (root, blocks, own, node, n_shingles, set) their true components."""
+    nodes = written(sets.groupBy("root", "own", "node").agg(F.first("blocks").alias("blocks"), F.sum("n_shingles").alias("n_shingles")), "members")
+    blocks = nodes.groupBy("root").agg(F.first("blocks").alias("blocks"))
+
+    def each_block(per_group: DataFrame) -> DataFrame:
+        """The rows of a group once for each of its blocks, so that no join has a whole group under one key."""
+        return per_group.join(blocks, "root").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    open_nodes, found, round_ = nodes, sets.sparkSession.createDataFrame([], LINK), 0
+    while True:
+        most, heaviest = PIVOTS * GROWTH**round_, BLOCK_SHINGLES * GROWTH**round_
+        every = open_nodes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n_shingles") / heaviest)).alias("every"))
+        chosen = written(open_nodes.join(each_block(every), ["root", "own"]).where(F.pmod(F.xxhash64("node", F.lit(round_)), F.col("every")) == 0), "chosen")
+        parts = chosen.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / PIVOTS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+        dealt = written(each_block(parts), "dealt")
+        pivots = chosen.join(dealt, ["root", "own"]).select("root", "own", "node", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("i"))
+        one = sets.join(pivots, ["root", "own", "node"]).select("root", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), "node", "set")
+        other = sets.join(dealt, ["root", "own"]).select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "node", "set")
+        found = found.unionByName(written(_decided(one.unionByName(other), percent), "links"))
+        component = components(found).withColumnRenamed("root", "component")
+        placed = written(nodes.select("root", "own", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+        largest = placed.groupBy("root", "component").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("component", F.struct("n", "component")).alias("component"))
+        closed = placed.join(each_block(largest), ["root", "own", "component"], "left_semi").select("node").unionByName(chosen.select("node"))
+        open_nodes = written(open_nodes.join(closed, "node", "left_anti"), "open")
+        if not open_nodes.limit(1).count():
+            return found
+        round_ += 1
+
+
+def verified(documents: DataFrame, groups: DataFrame, id: str, text: str, percent: int) -> DataFrame:
+    """(u, v): links between the whole sets of nodes of the same group, enough to tell its components. groups: (node, th, root, n_shingles)."""
+    sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    salted = sizes.where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # few groups are large
+    dealt = groups.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = written(dealt.select("node", "th", "root", "n_shingles", "blocks", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int").alias("own")), "groups")
+    small = _packed(documents, placed.where("blocks = 1"), id, text)
+    found = _decided(small.select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "set"), percent)
+    large = placed.where("blocks > 1")
+    if not large.limit(1).count():
+        return found
+    return found.unionByName(_by_pivots(written(_packed(documents, large, id, text), "sets"), percent))
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
