@@ -8,11 +8,11 @@ h is the least number that lifts it over RECALL (10 at 0.85, 13 at 0.80).
 
 Each table entry is linked to the least node of its table; the components of these tentative links are candidate groups. All
 links within a group of one block are decided exactly by whole shingle sets in one task (an inverted index counts
-intersections), which returns a spanning forest of them. A larger group is cut into blocks and meets pivots, some of its open nodes,
-in rounds: every block meets every pivot, after which the pivots are closed, and so are all nodes of the largest component
-found so far, as links within a component change nothing. A link between two components thus has an open end until a
-pivot has found it, and rounds (with PIVOTS nodes, then GROWTH times as many each) end when no node is open. A group of copies
-costs some rounds over its nodes, not its square. Components of the links are the result. No table or group is capped, sampled
+intersections), which returns a spanning forest of them. A larger group is cut into blocks. First
+every block meets about PIVOTS of the group's nodes, which are closed then, and so are all nodes that turn out to be in the component of
+the pivot with the most nodes, as links within a component change nothing. A link between two components thus has an open
+end or is known; then every block meets the open nodes. A group of copies costs about its size, and its open nodes times its size in
+the worst case. Components of the links are the result. No table or group is capped, sampled
 or expanded into pairs of rows.
 
 Null or empty texts have empty sets and are linked with nothing. Rows with equal texts are linked. Rows that share an id
@@ -37,8 +37,8 @@ SHINGLE, PERCENT = 5, 85
 WIDTH, RECALL = 3, 0.9997
 #: Nodes and shingles of a block at most about.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
-#: Open nodes of a large group that meet all of it in the first round (about, and of BLOCK_SHINGLES at most about), and by how much later rounds have more.
-PIVOTS, GROWTH = 128, 4
+#: Nodes of a large group that meet all of it first (about, and of BLOCK_SHINGLES shingles at most about).
+PIVOTS = 128
 #: Parts of a large group in joins by group.
 SALTS = 64
 
@@ -178,7 +178,7 @@ def _packed(documents: DataFrame, placed: DataFrame, id: str, text: str) -> Data
     """(node, root, blocks, own, n_shingles, set): placed nodes with their whole shingle sets."""
     every = documents.select(F.col(f"`{id}`").cast("long").alias("node"), F.col(f"`{text}`").alias("text"))
     nameless = every.where("node IS NULL").groupBy(F.xxhash64("text").alias("th")).agg(F.first("text").alias("text"))
-    texts = every.join(placed.where(F.col("node") < NO_ID).drop("th"), "node").unionByName(nameless.join(placed.where(F.col("node") >= NO_ID), "th").drop("th"))
+    texts = every.join(placed.where(F.col("node") < NO_ID).drop("th").hint("merge"), "node").unionByName(nameless.join(placed.where(F.col("node") >= NO_ID).hint("merge"), "th").drop("th"))
     kept = ("node", "root", "blocks", "own", "n_shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +192,27 @@ def _packed(documents: DataFrame, placed: DataFrame, id: str, text: str) -> Data
     return texts.select("text", *kept).mapInArrow(run, "node bigint, root bigint, blocks int, own int, n_shingles bigint, set binary")
 
 
-def _decided(meet: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links among the nodes of a meeting (root, i, j), or between its two sides where both have nodes."""
+def stars(found: list[tuple[int, int]], pivots: set[int]) -> list[tuple[int, int]]:
+    """Every node of a component of the links with the component's least pivot (or least node, where it has none)."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in found:
+        parent[root(x)] = root(y)
+    least: dict[int, tuple[bool, int]] = {}
+    for x in parent:
+        least[root(x)] = min(least.get(root(x), (True, x)), (x not in pivots, x))
+    return [(x, least[root(x)][1]) for x in parent if x != least[root(x)][1]]
+
+
+def _decided(meet: DataFrame, percent: int, starred: bool = False) -> DataFrame:
+    """(u, v): links among the nodes of a meeting (root, i, j), or between its two sides where both have nodes. starred: as stars of side 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, sets, side, node = None, [], [], []
@@ -201,7 +220,8 @@ def _decided(meet: DataFrame, percent: int) -> DataFrame:
 
         def close() -> None:
             if len(sets) > 1:
-                out.extend(links(sets, np.array(side), np.array(node), percent))
+                found = links(sets, np.array(side), np.array(node), percent)
+                out.extend(stars(found, {n for n, a in zip(node, side, strict=True) if a == 0}) if starred else found)
 
         for batch in batches:
             for r, i, j, a, n, s in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "side", "node", "set")), strict=True):
@@ -230,25 +250,28 @@ def _by_pivots(sets: DataFrame, percent: int) -> DataFrame:
         """The rows of a group once for each of its blocks, so that no join has a whole group under one key."""
         return per_group.join(blocks, "root").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
-    open_nodes, found, round_ = nodes, sets.sparkSession.createDataFrame([], LINK), 0
-    while True:
-        most, heaviest = PIVOTS * GROWTH**round_, BLOCK_SHINGLES * GROWTH**round_
-        every = open_nodes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n_shingles") / heaviest)).alias("every"))
-        chosen = written(open_nodes.join(each_block(every), ["root", "own"]).where(F.pmod(F.xxhash64("node", F.lit(round_)), F.col("every")) == 0), "chosen")
-        parts = chosen.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / PIVOTS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    def meeting(some: DataFrame, size: int) -> DataFrame:
+        """Some nodes (root, own, node, n_shingles), in parts of about `size`, and every block of their groups."""
+        some = written(some.select("root", "own", "node", "n_shingles"), "some")
+        parts = some.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / size, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
         dealt = written(each_block(parts), "dealt")
-        pivots = chosen.join(dealt, ["root", "own"]).select("root", "own", "node", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("i"))
-        one = sets.join(pivots, ["root", "own", "node"]).select("root", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), "node", "set")
+        place = some.join(dealt, ["root", "own"]).select("root", "own", "node", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("i"))
+        one = sets.join(place, ["root", "own", "node"]).select("root", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), "node", "set")
         other = sets.join(dealt, ["root", "own"]).select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "node", "set")
-        found = found.unionByName(written(_decided(one.unionByName(other), percent), "links"))
-        component = components(found).withColumnRenamed("root", "component")
-        placed = written(nodes.select("root", "own", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-        largest = placed.groupBy("root", "component").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("component", F.struct("n", "component")).alias("component"))
-        closed = placed.join(each_block(largest), ["root", "own", "component"], "left_semi").select("node").unionByName(chosen.select("node"))
-        open_nodes = written(open_nodes.join(closed, "node", "left_anti"), "open")
-        if not open_nodes.limit(1).count():
-            return found
-        round_ += 1
+        return one.unionByName(other)
+
+    every = nodes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / PIVOTS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("every"))
+    pivots = nodes.join(each_block(every), ["root", "own"]).where(F.pmod(F.xxhash64("node"), F.col("every")) == 0)
+    first = written(_decided(meeting(pivots, PIVOTS), percent, starred=True), "links")
+    # labels: nodes of one component, the largest star's, in each group
+    counted = first.groupBy("v").agg(F.count("*").alias("n")).join(pivots.select(F.col("node").alias("v"), "root"), "v")
+    largest = written(counted.groupBy("root").agg(F.max_by("v", F.struct("n", "v")).alias("v")).select("v"), "largest")
+    labels = largest.unionByName(first.join(largest, "v", "left_semi").select(F.col("u").alias("v")))
+    closed = first.join(labels, "v", "left_semi").select(F.col("u").alias("node")).unionByName(labels.select(F.col("v").alias("node"))).unionByName(pivots.select("node"))
+    left = written(nodes.join(closed, "node", "left_anti"), "open")
+    if not left.limit(1).count():
+        return first
+    return first.unionByName(_decided(meeting(left, BLOCK), percent))
 
 
 def verified(documents: DataFrame, groups: DataFrame, id: str, text: str, percent: int) -> DataFrame:
