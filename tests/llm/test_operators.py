@@ -305,30 +305,7 @@ def test_neardup_at_another_threshold_and_without_ids(spark):
 def test_neardup_blocks_and_null_ids(docs, texts, spark, monkeypatch):
     whole = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
     monkeypatch.setattr(neardup, "BLOCK", 2)
-    monkeypatch.setattr(neardup, "PIVOTS", 1)
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == whole
-    # two chains that walk away from one text, so that few members link to any pivot, and a member that links to none
-    w, chains = prose(120).split(), []
-    for side in range(2):
-        for k in range(12):
-            at = [5 + 4 * x + 60 * side for x in range(k)]
-            chains.append(" ".join(f"new{x}" if x in at else v for x, v in enumerate(w)))
-    chains.append(" ".join(f"odd{x}" if x % 9 == 4 and x < 40 else v for x, v in enumerate(w)))
-    df = spark.createDataFrame(list(enumerate(chains)), "doc_id long, text string")
-    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in chains]
-    root = list(range(len(chains)))
-    for _ in chains:
-        for a, b in itertools.combinations(range(len(chains)), 2):
-            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                root[a] = root[b] = min(root[a], root[b])
-    groups = spark.createDataFrame([(i, 0, 0, len(x)) for i, x in enumerate(sets)], "node long, th long, root long, n_shingles long")
-    links = {(r.u, r.v) for r in neardup.verified(df, groups, "doc_id", "text", 85).collect() if r.u != r.v}
-    reached = list(range(len(chains)))
-    for _ in chains:
-        for a, b in links:
-            assert 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
-            reached[a] = reached[b] = min(reached[a], reached[b])
-    assert reached == root and len(set(root)) > 1
     df = spark.createDataFrame([(None, texts[6]), (7, texts[6]), (None, None), (None, "other words here")], "doc_id long, text string")
     assert sorted(str(r.component_id) for r in neardup.near_duplicates(df).collect()) == ["7", "7", "None", "None"]
 
