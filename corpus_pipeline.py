@@ -22,20 +22,26 @@ PASSAGE = 240
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """doc_id and text, and the whole row beside them, so that no column's name can clash."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """doc_id and text, and the row's other columns in a struct beside them, so that no column's name can clash."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+
+
+def _columns(whole: DataFrame, columns: list[str], **new) -> DataFrame:
+    """The columns of documents again, from what _whole made, with those of `new` in place of the old ones."""
+    new = {"text": F.col("text")} | new
+    return whole.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that nearest-neighbour voting holds for good ones."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
-    return quality.classify(_whole(docs), model, carry=("row",)).where("predicted = 1").select("row.*")
+    return _columns(quality.classify(_whole(docs), model, carry=("text", "row")).where("predicted = 1"), docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the base rules and are content for the most part."""
     weights = rules.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return rules.judge(_whole(docs), weights, carry=("row",)).where("kept").select("row.*")
+    return _columns(rules.judge(_whole(docs), weights, carry=("text", "row")).where("kept"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +59,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages, strings of PASSAGE bytes, out of every text; n_chars follows the text."""
     whole = repeats.remove_repeats(_whole(docs), carry=("row",), emit_text=True, length=PASSAGE)
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return whole.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return _columns(whole, docs.columns, text=F.col("kept_text"), n_chars=F.length("kept_text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

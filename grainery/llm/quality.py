@@ -151,7 +151,8 @@ def train(documents: DataFrame, labels: DataFrame, learn=None, n: int = SAMPLE)
 
 def classify(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score, predicted, and the carried columns) per row of df."""
-    source = df.select(df[f"`{id}`"].alias("doc_id"), df[f"`{text}`"].alias("__text"), *[df[f"`{c}`"] for c in carry])
+    source = df.select(df[f"`{id}`"].alias("doc_id"), df[f"`{text}`"].alias("__text"), *[df[f"`{c}`"] for c in carry if c != text])
+    held = ["__text" if c == text else c for c in carry]  # the text is sent to Python once
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +160,7 @@ def classify(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text"
             for i, j, counts in _each(batch, "__text"):
                 score = shared.value.score(counts)
                 out = [batch.column("doc_id").slice(i, j - i), pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*out, *(batch.column(c).slice(i, j - i) for c in carry)], ["doc_id", "score", "predicted", *carry])
+                yield pa.RecordBatch.from_arrays([*out, *(batch.column(c).slice(i, j - i) for c in held)], ["doc_id", "score", "predicted", *carry])
 
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    return source.mapInArrow(run, f"doc_id {kinds['doc_id']}, score double, predicted int" + "".join(f", `{c}` {kinds[c]}" for c in carry))
+    return source.mapInArrow(run, f"doc_id {kinds['doc_id']}, score double, predicted int" + "".join(f", `{c}` {kinds[h]}" for c, h in zip(carry, held, strict=True)))

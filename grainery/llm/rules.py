@@ -307,7 +307,8 @@ def judge(df: DataFrame, weights: np.ndarray, id: str = "doc_id", text: str = "t
 
     carry: columns of df to return along with it. line_labels: also the labels of its lines with a word (1: content).
     """
-    source = df.select(df[f"`{id}`"].alias("doc_id"), df[f"`{text}`"].alias("__text"), *[df[f"`{c}`"] for c in carry])
+    source = df.select(df[f"`{id}`"].alias("doc_id"), df[f"`{text}`"].alias("__text"), *[df[f"`{c}`"] for c in carry if c != text])
+    held = ["__text" if c == text else c for c in carry]  # the text is sent to Python once
     field = Field(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,11 +324,11 @@ def judge(df: DataFrame, weights: np.ndarray, id: str = "doc_id", text: str = "t
                 out = [batch.column("doc_id").slice(i, j - i)]
                 out += [pa.array(v.astype(np.int64)) for v in (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words)]
                 out += [pa.array(failed), pa.array(share), pa.array(~failed & (share >= keep_share))]
-                out += [batch.column(c).slice(i, j - i) for c in carry]
+                out += [batch.column(c).slice(i, j - i) for c in held]
                 if line_labels:
                     out.append(pa.ListArray.from_arrays(pa.array(x.at, pa.int32()), pa.array(labels)))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", *(c.split()[0] for c in SCHEMA.split(", ")), *carry, *(["line_labels"] if line_labels else [])])
 
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    more = "".join(f", `{c}` {kinds[c]}" for c in carry) + (", line_labels array<tinyint>" if line_labels else "")
+    more = "".join(f", `{c}` {kinds[h]}" for c, h in zip(carry, held, strict=True)) + (", line_labels array<tinyint>" if line_labels else "")
     return source.mapInArrow(run, f"doc_id {kinds['doc_id']}, {SCHEMA}{more}")
