@@ -271,3 +271,13 @@ def line_range(text: Column, begin: Column, end: Column) -> Column:
     """(first, last): the lines, from 1, of the characters of a text from begin (from 0) to before end."""
     breaks = lambda upto: F.length(F.substring(text, F.lit(1), upto)) - F.length(F.replace(F.substring(text, F.lit(1), upto), F.lit("\n")))
     return F.struct((1 + breaks(begin)).alias("first"), (1 + breaks(F.greatest(begin, end - 1))).alias("last"))
+
+
+def percent(share: Column, decimals: int = 2) -> Column:
+    """0.1234 as 12.34%."""
+    return F.format_string(f"%.{decimals}f%%", share * 100)
+
+
+def signed(value: Column, decimals: int = 4) -> Column:
+    """A difference with its sign, which zero has too."""
+    return F.concat(F.when(value >= 0, "+").otherwise(""), F.format_string(f"%.{decimals}f", value))

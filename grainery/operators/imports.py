@@ -58,6 +58,36 @@ def statements(files: DataFrame) -> DataFrame:
     return lines.select("file", found.alias("raw"), "ext").where("raw IS NOT NULL").distinct()
 
 
+#: Per family: an import statement, the group of its module (0: none), and the group of what it names.
+ALIASING = {
+    "python": (r"(?m)^[ \t]*(?:from\s+(\S+)\s+)?import\s+(\([^)]*\)|[^\n#;]*)", 1, 2),
+    "script": (r"(?m)^[ \t]*import\s+(?:type\s+)?([^;'\"]*?)\s*from\s*['\"]([^'\"]+)['\"]", 2, 1),
+    "rust": (r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", 0, 1),
+}
+ALIASED_EXTENSIONS = {"py": "python", "rs": "rust"} | dict.fromkeys(("ts", "tsx", "js", "jsx", "mjs", "cjs"), "script")
+RENAMED = r"([\w$.]+|\*)\s+as\s+([\w$]+)"
+
+
+def aliases(files: DataFrame) -> DataFrame:
+    """(file, alias, original, source) of the names that imports of files (path, text) rename; source is null where a statement has no module.
+
+    original is the last part of a dotted name; for `* as x` it is the stem of the module's path. The name `_` is no alias.
+    """
+    family = F.element_at(F.create_map(*[F.lit(x) for pair in ALIASED_EXTENSIONS.items() for x in pair]), F.lower(extension(F.col("path"))))
+    rows = files.select(F.col("path").alias("file"), "text", family.alias("family")).where("family IS NOT NULL")
+    found, module, names = F.array().cast("array<string>"), F.lit(None).cast("string"), F.lit("")
+    for name, (pattern, of, what) in ALIASING.items():
+        this = F.col("family") == name
+        found = F.when(this, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(found)
+        module = F.when(this, F.nullif(F.regexp_extract("said", pattern, of), F.lit("")) if of else F.lit(None).cast("string")).otherwise(module)
+        names = F.when(this, F.regexp_extract("said", pattern, what)).otherwise(names)
+    said = rows.select("file", "family", F.explode(found).alias("said")).select("file", module.alias("source"), F.explode(F.regexp_extract_all(names, F.lit(RENAMED), F.lit(0))).alias("pair"))
+    whole = F.regexp_extract("pair", RENAMED, 1)
+    stem = F.regexp_replace(F.substring_index("source", "/", -1), r"\.\w+$", "")
+    original = F.when(whole == "*", stem).otherwise(F.substring_index(whole, ".", -1))
+    return said.select("file", F.regexp_extract("pair", RENAMED, 2).alias("alias"), original.alias("original"), "source").where("alias <> '_'")
+
+
 def folded(path: Column) -> Column:
     """A path without empty and `.` parts and with `..` taken back."""
     step = lambda done, part: F.when(part.isin("", "."), done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, part))

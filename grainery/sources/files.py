@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import subprocess
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -102,3 +103,32 @@ def commit_log(lines: DataFrame) -> DataFrame:
     sha = F.when(F.col("line").rlike("^[0-9a-f]{40}$"), F.col("line"))
     commit = F.last(sha, ignorenulls=True).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
     return lines.select("n", "line", commit.alias("commit")).where("line <> '' AND commit IS NOT NULL AND line <> commit").select("commit", F.col("line").alias("file"), F.col("n").alias("seq"))
+
+
+# The entries that mark the root of a project.
+PROJECT_MARKS = (".git", ".grainery.toml", "Cargo.toml", "package.json", "go.mod", "pyproject.toml", "setup.py", "pom.xml", "build.gradle", "CMakeLists.txt", "Makefile", "requirements.txt", ".hg", ".svn")
+
+
+def looks_like_project(folder: str) -> bool:
+    """Whether a folder holds a mark of a project; the root of the file system and temporary folders never count."""
+    if folder == "/" or folder.startswith(("/tmp", "/var/tmp")):
+        return False
+    return any(os.path.exists(os.path.join(folder, mark)) for mark in PROJECT_MARKS)
+
+
+def project_key(root: str, name: str | None = None) -> str:
+    """One stable string per source tree: its real path, and a logical name where one tree holds several projects."""
+    return os.path.realpath(root) + (f"#{name}" if name else "")
+
+
+def changed_on_branch(spark: SparkSession, root: str) -> DataFrame:
+    """(path): what the branch of a checkout changed since it left main, or else master; empty where there is neither, or nothing in common."""
+
+    def git(*words: str) -> str | None:
+        done = subprocess.run(["git", "-C", root, *words], capture_output=True, text=True, check=False)
+        return done.stdout.strip() if done.returncode == 0 else None
+
+    main = next((b for b in ("main", "master") if git("rev-parse", "--verify", "--quiet", f"refs/heads/{b}") is not None), None)
+    base = git("merge-base", "HEAD", main) if main else None
+    listed = git("-c", "core.quotePath=false", "diff", "--name-only", f"{base}...HEAD") if base else None
+    return spark.createDataFrame([(p,) for p in (listed or "").splitlines() if p], "path string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,15 @@ def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def watched(path: Column, store: str = ".grainery", history: str = ".git") -> Column:
+    """Whether an event's path lies outside the index and the version control folder, whose changes start no refresh."""
+    return ~_under(path, store) & ~_under(path, history)
+
+
+def _under(path: Column, folder: str) -> Column:
+    return (path == folder) | path.startswith(folder + "/")
+
+
 def debounced(events: DataFrame, by: str, quiet: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
     """(by, start, end, n): bursts of events that end with a quiet time; works on streams and on tables."""
     bursts = events.withWatermark("ts", late).groupBy(F.session_window("ts", quiet).alias("w"), by).agg(F.count("*").alias("n"))
