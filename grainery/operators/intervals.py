@@ -19,18 +19,35 @@ def scope_chain(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     return pairs.groupBy("file", "idx").agg(F.array_join(F.transform(order, lambda s: s["name"]), " > ").alias("scope"))
 
 
+def _by_file(rows: DataFrame, gathered, name: str) -> DataFrame:
+    """A row for each file with a list of what it holds. Rows are dealt by file first, so that lists are not begun on whole parts of the input."""
+    return rows.repartition("file").groupBy("file").agg(gathered.alias(name))
+
+
 def enclosing_symbol(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """For calls (file, line): the narrowest symbol around the line, else the last that starts before it."""
-    pairs = calls.join(symbols, "file").where("start <= line")
-    inside = F.col("end") >= F.col("line")
-    best = F.min(F.struct(F.when(inside, 0).otherwise(1).alias("kind"), F.when(inside, F.col("end") - F.col("start")).otherwise(-F.col("start")).alias("by"), "name"))
-    return pairs.groupBy("file", "line").agg(best.alias("b")).select("file", "line", F.col("b.name").alias("name"), (F.col("b.kind") == 0).alias("encloses"))
+    """For calls (file, line): the narrowest symbol around the line, else the last that starts before it.
+
+    A file's lines meet the list of its symbols, so that pairs of both are never rows that are sorted.
+    """
+    lists = _by_file(symbols.where("file IS NOT NULL AND start IS NOT NULL"), F.collect_list(F.struct("start", "end", "name")), "symbols")
+    lines = _by_file(calls.where("file IS NOT NULL AND line IS NOT NULL"), F.collect_set("line"), "lines")
+    each = lines.join(lists, "file").select("file", "symbols", F.explode("lines").alias("line"))
+
+    def order(s):
+        inside = s["end"] >= F.col("line")
+        return F.struct(F.when(inside, 0).otherwise(1).alias("kind"), F.when(inside, s["end"] - s["start"]).otherwise(-s["start"]).alias("by"), s["name"].alias("name"))
+
+    best = F.array_min(F.transform(F.filter("symbols", lambda s: s["start"] <= F.col("line")), order))
+    return each.select("file", "line", best.alias("b")).where("b IS NOT NULL").select("file", "line", F.col("b.name").alias("name"), (F.col("b.kind") == 0).alias("encloses"))
 
 
 def chunk_of_symbol(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The first chunk that holds a symbol's first line."""
-    pairs = symbols.join(chunks, "file").where("first <= start AND start <= last")
-    return pairs.groupBy("file", "name", "start").agg(F.min("idx").alias("idx"))
+    """The first chunk that holds a symbol's first line. A file's symbols meet the list of its chunks."""
+    lists = _by_file(chunks.where("file IS NOT NULL"), F.collect_list(F.struct("idx", "first", "last")), "chunks")
+    named = _by_file(symbols.where("file IS NOT NULL AND start IS NOT NULL"), F.collect_set(F.struct("name", "start")), "symbols")
+    each = named.join(lists, "file").select("file", "chunks", F.explode("symbols").alias("s")).select("file", "s.name", "s.start", "chunks")
+    around = F.filter("chunks", lambda c: (c["first"] <= F.col("start")) & (F.col("start") <= c["last"]))
+    return each.where(F.exists("chunks", lambda c: (c["first"] <= F.col("start")) & (F.col("start") <= c["last"]))).select("file", "name", "start", F.array_min(F.transform(around, lambda c: c["idx"])).alias("idx"))
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
