@@ -130,9 +130,11 @@ def resolve(found: DataFrame, files: DataFrame, go_module: str | None = None) ->
     Go packages resolve to the least file of their folder, by the module's path.
     """
     named = found.select("file", "ext", "raw", import_path(F.col("raw"), F.col("ext")).alias("name")).where("name IS NOT NULL")
-    tried = named.select("file", "raw", F.posexplode(candidates(F.col("name"), F.col("ext"), F.col("file"))).alias("pos", "path"))
-    best = tried.join(files.select("path"), "path").groupBy("file", "raw").agg(F.min_by("path", "pos").alias("dst"))
-    out = best.select(F.col("file").alias("src"), "dst", "raw")
+    # candidates are formed once for each name, not for each statement; only relative ones depend on the file
+    named = named.withColumn("base", F.when(F.col("ext").isin(*SCRIPT, "rs"), F.col("file")).otherwise(""))
+    tried = named.select("name", "ext", "base").distinct().select("name", "ext", "base", F.posexplode(candidates(F.col("name"), F.col("ext"), F.col("base"))).alias("pos", "path"))
+    best = tried.join(files.select("path"), "path").groupBy("name", "ext", "base").agg(F.min_by("path", "pos").alias("dst"))
+    out = named.join(best, ["name", "ext", "base"]).select(F.col("file").alias("src"), "dst", "raw")
     if go_module:
         folder = F.ltrim(F.substring(F.col("name"), len(go_module) + 1, 1 << 20), F.lit("/"))
         go = named.where((F.col("ext") == "go") & F.col("name").startswith(go_module)).select("file", "raw", folder.alias("folder")).where("folder <> ''")

@@ -66,7 +66,7 @@ def _modules(spark, d):
 def python_imports(spark, d):
     """Orders' lines import modules named by part, some of them by an item in the module."""
     raw = F.concat(F.lit("b"), F.col("l_partkey") % 50, F.lit(".m"), F.col("l_partkey") + F.when(F.col("l_linenumber") == 5, 50000).otherwise(0), F.when(F.col("l_linenumber") % 2 == 0, ".item").otherwise(""))
-    rows = read(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey") % 1000, F.lit(".py")).alias("file"), raw.alias("raw"), F.lit("py").alias("ext")).distinct()
+    rows = read(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey") % 1000, F.lit(".py")).alias("file"), raw.alias("raw"), F.lit("py").alias("ext"))  # resolve makes its rows distinct
     return M.resolve(rows, _modules(spark, d)).groupBy("dst").agg(F.count("*").alias("n"))
 
 

@@ -52,3 +52,16 @@ def test_aliases(spark):
     rows = [("a.py", "import json as j\nx = 1  # import a as b\n"), ("b.tsx", "import type { A as B } from \"./t\""), ("c.rs", "use a::{b as _, c as d};"), ("d.py", ""), ("e.py", None), ("f", "import a as b")]
     found = M.aliases(spark.createDataFrame(rows, "path string, text string")).collect()
     assert sorted(tuple(r) for r in found) == [("a.py", "j", "json", None), ("b.tsx", "B", "A", "./t"), ("c.rs", "d", "c", None)]
+
+
+def test_resolve_forms_candidates_once_for_each_name(spark):
+    """Every statement was multiplied by its candidates before the join with the files."""
+    found = [(f"p{i}/m.py", f"a.b{' ' * (i % 3)}", "py") for i in range(300)] + [("x/a.ts", "./b", "ts"), ("y/a.ts", "./b", "ts"), ("x/a.ts", "./b", "ts")]
+    rows = spark.createDataFrame(found, "file string, raw string, ext string")
+    files_ = spark.createDataFrame([("src/a/b.py",), ("a/b/__init__.py",), ("x/b.ts",), ("y/b/index.ts",)], "path string")
+    out = M.resolve(rows, files_)
+    got = sorted(tuple(r) for r in out.collect())
+    assert len(got) == 302 and {r[1] for r in got if r[0].startswith("p")} == {"a/b/__init__.py"}
+    assert [r[:2] for r in got if r[0][0] in "xy"] == [("x/a.ts", "x/b.ts"), ("y/a.ts", "y/b/index.ts")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate posexplode") :]
